@@ -5,10 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from riskloom.llm.decontaminate import op10_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from riskloom.llm.mixing import op1_mixing
+from riskloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
+        "op8_url_filter": op8_url_filter,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
@@ -16,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
