@@ -3,7 +3,8 @@
 Level r takes the next WIDTHS[r] bytes of every text that is still in a group with others as one digit. A digit that is
 shorter than its width means that the text has ended. Groups are counted by (group, digit) with map-side partial
 aggregation, so the copies of a hot text cost one row per task; rows then learn their group's count by a join whose
-large partitions adaptive execution can split, because both sides are plain exchanges. A row alone in its group is
+large partitions adaptive execution can split, because both sides are plain exchanges (the groups grow with the corpus,
+so they are never broadcast). A row alone in its group is
 finished, as is one whose text has ended: its group is then a class of equal texts. Only the others go on, so unique
 documents are compared over their first bytes alone. Equality is decided by bytes, never by a digest; the SHA-256 is
 an output. The number of levels is logarithmic in the longest text.
@@ -40,13 +41,14 @@ def classes(docs: DataFrame, keep: list[str], id_column: str = "doc_id", text_co
     )
     parts, offset, width = [], 0, FIRST_WIDTH
     while True:
-        digit = F.substring(normalised(F.col("text")).cast("binary"), offset + 1, width)
-        keyed = state.withColumn("digit", digit)
+        # Bytes as Latin-1 characters: lower-casing touches the digit alone, not the whole text.
+        cut = F.substring(F.coalesce("text", F.lit("")).cast("binary"), offset + 1, width)
+        keyed = state.withColumn("digit", F.translate(F.decode(cut, "ISO-8859-1"), UPPER, LOWER))
         groups = keyed.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id")).where("n > 1")
         groups = scratch.stage(groups.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{offset}")
-        ended = F.octet_length("digit") < width
+        ended = F.length("digit") < width
         level = scratch.stage(
-            keyed.join(groups, ["gid", "digit"], "left").select(
+            keyed.join(groups.hint("merge"), ["gid", "digit"], "left").select(
                 "row", "id", "text", F.col("next").alias("gid"), F.coalesce("n", F.lit(1)).cast("long").alias("n"),
                 F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
                 (F.col("n").isNull() | ended).alias("finished"),
