@@ -5,7 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from riskloom.llm.decontaminate import op10_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from riskloom.llm.language import op9_language
 from riskloom.llm.mixing import op1_mixing
+from riskloom.llm.quality import op2_quality
 from riskloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 
@@ -13,6 +15,8 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op8_url_filter": op8_url_filter,
+        "op2_quality": op2_quality,
+        "op9_language": op9_language,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
