@@ -8,6 +8,7 @@ from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.language import op9_language
 from riskloom.llm.mixing import op1_mixing
 from riskloom.llm.quality import op2_quality
+from riskloom.llm.simhash import op5_simhash
 from riskloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op2_quality": op2_quality,
         "op9_language": op9_language,
+        "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
