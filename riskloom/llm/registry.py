@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from riskloom.llm.archives import op7_warc
 from riskloom.llm.decontaminate import op10_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.language import op9_language
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op9_language": op9_language,
         "op5_simhash": op5_simhash,
+        "op7_warc": op7_warc,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
