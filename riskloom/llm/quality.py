@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import kernels
 from riskloom.llm.folds import held_out
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 LONGEST = 50_000
 MOST_LINES = 200
 CUT = 0.7
@@ -148,14 +148,19 @@ class Model:
         self.share = float(np.mean([y for _, y in samples])) if samples else 0.5
         if not self.ready:
             return
-        data, offsets = kernels.text_buffer(pa.array([t for t, _ in samples], pa.large_string()))
-        start, end, doc = lines(data, offsets)
-        raw = features(data, start, end, doc)
+        parts, first = [], 0
+        whole = pa.record_batch([pa.array([t for t, _ in samples], pa.large_string())], ["text"])
+        for part in kernels.slices(whole, "text", 1 << 20):
+            data, offsets = kernels.text_buffer(part.column("text"))
+            start, end, doc = lines(data, offsets)
+            parts.append((features(data, start, end, doc), doc + first, (end - start).astype(float)))
+            first += part.num_rows
+        raw, doc, size = (np.concatenate(x) for x in zip(*parts))
         self.mean, self.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-3
-        x = with_neighbours(self.standard(raw), doc).astype(float)
+        x = with_neighbours(self.standard(raw), doc)
         y = np.array([q for _, q in samples])
         self.fit(x, doc, y)
-        quality, has = self.raw_quality(x, doc, (end - start).astype(float), len(samples))
+        quality, has = self.raw_quality(x, doc, size, len(samples))
         self.calibrate(quality[has], y[has])
 
     def standard(self, raw: np.ndarray) -> np.ndarray:
