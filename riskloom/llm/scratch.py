@@ -54,3 +54,53 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     Extra columns keep their names; ``uid`` and ``file_no`` must be free (callers pass only columns of their own).
     """
     return stage(df.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_no", F.spark_partition_id()), name)
+
+
+def beside(rows: DataFrame, name: str) -> str:
+    """Write rows that belong to texts of a :func:`numbered` table, by ``file_no`` and sorted by ``uid``.
+
+    Tasks over the texts then read their own rows with :class:`Beside`: no text is shuffled, nothing is broadcast.
+    """
+    path = folder(rows.sparkSession, name)
+    rows.repartition("file_no").sortWithinPartitions("file_no", "uid").write.partitionBy("file_no").option("compression", "zstd").parquet(path)
+    return path
+
+
+class Beside:
+    """Rows that :func:`beside` wrote, looked up by file and row number inside a task; one file's rows are held."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.system, self.place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        self.file_no = None
+
+    def of(self, file_no: int, uids) -> tuple[dict, list[tuple[int, int]]]:
+        """(columns as arrays, slice of them for each uid)."""
+        import numpy as np
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        if file_no != self.file_no:
+            place = f"{self.place}/file_no={file_no}"
+            found = self.system.get_file_info(place).type == fs.FileType.Directory
+            table = ds.dataset(place, filesystem=self.system, format="parquet").to_table().sort_by("uid") if found else None
+            self.columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in table.column_names} if found else {"uid": np.zeros(0, np.int64)}
+            self.file_no = file_no
+        low, high = (np.searchsorted(self.columns["uid"], uids, side) for side in ("left", "right"))
+        return self.columns, list(zip(low.tolist(), high.tolist()))
+
+
+def text_slices(batches, limit: int):
+    """(file_no, record batch) parts of batches of a :func:`numbered` table, each of one file and about ``limit`` bytes."""
+    import numpy as np
+
+    from riskloom.llm import kernels
+
+    for whole in batches:
+        number = whole.column("file_no").to_numpy()
+        edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), whole.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a:
+                for part in kernels.slices(whole.slice(a, b - a), "text", limit):
+                    yield int(number[a]), part
