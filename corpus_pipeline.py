@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, exact_dedup, scratch
+from riskloom.llm import decontaminate, exact_dedup, mixing, quality, scratch, simhash
+
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +20,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies."""
+    return simhash.drop_near_copies(docs, SHINGLE)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share too little with the benchmark to count as contaminated."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact_dedup", exact), ("decontamination", decontamination)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight, in shuffled shards; a document comes once for each time that it is drawn."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+]
 
 #: Trained scores, shingle fingerprints and hashed permutations have no SQL form.
 ORACLE_SQL = None

@@ -165,6 +165,27 @@ def classes(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, max_bits:
     return rows.join(named_class.hint("merge"), "fp").select("row.kept", F.col("row.id").alias("id"), "fp", "component_id", "component")
 
 
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each class, that with the smallest doc_id (null is largest); all columns as they were.
+
+    Rows to drop go back to the written documents by file and row number; no text is shuffled.
+    """
+    whole = scratch.numbered(docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), "simhash-docs")
+    found = scratch.stage(classes(whole, ["uid", "file_no"], shingle, max_bits), "simhash-found")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "kept.uid")
+    stays = scratch.stage(found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-stays")
+    gone = found.join(stays.hint("merge"), "component").where(F.col("kept.uid") != F.col("first.uid")).select("kept.uid", "kept.file_no")
+    path = scratch.beside(gone, "simhash-gone")
+
+    def run(batches):
+        side = scratch.Beside(path)
+        for file_no, batch in scratch.text_slices(batches, 64 << 20):
+            _, where = side.of(file_no, batch.column("uid").to_numpy())
+            yield batch.select(["doc"]).filter(pa.array([low == high for low, high in where]))
+
+    return whole.mapInArrow(run, whole.select("doc").schema).select("doc.*")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
