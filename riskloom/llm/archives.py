@@ -42,6 +42,8 @@ from riskloom.llm import scratch
 SHORTEST = 0
 FILE_BYTES = 8 << 20
 LEVEL = 1
+#: Bytes given to a decompressor at once, so that what follows a member is not copied again and again.
+FED = 1 << 14
 DATE = "20240101000000"
 NAMESPACE = uuid.UUID("7b0c4a52-61d7-5c1e-9d5a-3f1f2f6d9a10")
 
@@ -66,10 +68,15 @@ def members(blob: bytes) -> Iterator[bytes]:
     if not blob.startswith(b"\x1f\x8b"):
         yield blob
         return
-    while blob:
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(blob) + unpacker.flush()
-        blob = unpacker.unused_data
+    view, at = memoryview(blob), 0
+    while at < len(blob):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(blob):
+                raise ValueError("the last gzip member is cut short")
+            parts.append(unpacker.decompress(view[at : at + FED]))
+            at = min(at + FED, len(blob)) - len(unpacker.unused_data)
+        yield b"".join(parts)
 
 
 def shared_file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -254,7 +261,12 @@ def open_files(files: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([load(path)], pa.binary())], ["path", "content"])
 
-    return files.select("path").repartition("path").mapInArrow(run, "path string, content binary")
+    return spread(files.select("path")).mapInArrow(run, "path string, content binary")
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Rows of files over as many tasks as there are files (a number of its own, which adaptive execution leaves alone)."""
+    return files.repartition(max(1, files.count()), "path")
 
 
 def arc_digests(files: DataFrame) -> DataFrame:
@@ -271,7 +283,7 @@ def arc_digests(files: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "number", "page_id", "digest", "size"])
 
-    return files.select("path").mapInArrow(run, "path string, number long, page_id long, digest binary, size long")
+    return spread(files.select("path")).mapInArrow(run, "path string, number long, page_id long, digest binary, size long")
 
 
 def decide(records: DataFrame, shortest: int = SHORTEST) -> DataFrame:
@@ -288,7 +300,7 @@ def decide(records: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 def convert_files(files: DataFrame, folder: str, shortest: int = SHORTEST) -> DataFrame:
     """Convert the ARC files that ``files`` names into WARC files; rows (path, records) of those."""
     records = scratch.stage(arc_digests(files), "arc-digests")
-    planned = files.select("path").join(decide(records, shortest), "path", "left").repartition(F.col("path"))
+    planned = spread(files.select("path").join(decide(records, shortest), "path", "left"))
 
     def run(batches):
         for batch in batches:
