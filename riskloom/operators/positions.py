@@ -55,27 +55,29 @@ def distance(leverage: Column, mmr: float, sigma: Column, side: str, days: int =
     return F.abs(liquidation_move(leverage, mmr, side)) / (positive(sigma) * math.sqrt(days))
 
 
-@F.pandas_udf("double")
-def touch_probability(z: pd.Series, nu: pd.Series) -> pd.Series:
-    """Twice the Student t tail beyond z standard deviations, at most 1."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else 0.0 if math.isinf(a) else min(1.0, 2 * special.t_sf(a * math.sqrt(b / (b - 2)), b)) for a, b in zip(z, nu)])
-
-
-@F.pandas_udf("double")
-def end_probability(z: pd.Series, nu: pd.Series) -> pd.Series:
-    """The tail at the end of the period alone."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else 0.0 if math.isinf(a) else special.t_sf(a * math.sqrt(b / (b - 2)), b) for a, b in zip(z, nu)])
-
-
-@F.pandas_udf("struct<var:double,es:double>")
-def loss_quantities(sigma: pd.Series, nu: pd.Series, p: pd.Series) -> pd.DataFrame:
-    """Positive (VaR, ES) of a Student t return."""
-    known: dict[tuple[float, float], tuple[float, float]] = {}
-    out = []
-    for s, v, level in zip(sigma, nu, p):
-        q, es = known.setdefault((level, v), special.tail_constants(level, v))
-        out.append((-s * q, -s * es))
-    return pd.DataFrame(out, columns=["var", "es"])
+def _t_tails(z: pd.Series, nu: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else 0.0 if math.isinf(a) else special.t_sf(a * math.sqrt(b / (b - 2)), b) for a, b in zip(z, nu)], dtype=float)
+
+
+def end_probability(z: Column, nu: Column) -> Column:
+    """Student t tail beyond z standard deviations, at the end of the period."""
+    return F.pandas_udf(_t_tails, "double")(z, nu)
+
+
+def touch_probability(z: Column, nu: Column) -> Column:
+    """Twice the tail, at most 1: an upper approximation of touching the level on the way."""
+    return F.least(F.lit(1.0), 2 * end_probability(z, nu))
+
+
+def loss_quantities(sigma: Column, nu: Column, p: float) -> Column:
+    """struct(var, es): positive Value-at-Risk and Expected Shortfall of a Student t return."""
+
+    def both(sigma: pd.Series, nu: pd.Series) -> pd.DataFrame:
+        known: dict[float, tuple[float, float]] = {}
+        pairs = [known.setdefault(v, special.tail_constants(p, v)) for v in nu]
+        return pd.DataFrame({"var": [-s * q for s, (q, _) in zip(sigma, pairs)], "es": [-s * e for s, (_, e) in zip(sigma, pairs)]})
+
+    return F.pandas_udf(both, "var double, es double")(sigma, nu)
 
 
 def scale_to_limit(weights: DataFrame, limit: float) -> DataFrame:
