@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import decontaminate, exact_dedup, mixing, quality, scratch, simhash
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+SCOPE = "pipeline"
+
+
+def stage(function):
+    """A stage drops what the stage before wrote for itself: its result has been written and is read from there."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark, SCOPE)
+        with scratch.scope(SCOPE):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts that are equal after lower-casing A-Z."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies."""
     return simhash.drop_near_copies(docs, SHINGLE)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share too little with the benchmark to count as contaminated."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weight, in shuffled shards; a document comes once for each time that it is drawn."""
     return mixing.mix(docs)
@@ -49,9 +69,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for at, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = scratch.stage(docs, f"pipeline-{name}")
+            path = scratch.folder(spark, f"pipeline-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                scratch.remove(spark, last)
+            last = path
     return docs

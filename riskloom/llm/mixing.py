@@ -31,6 +31,7 @@ CAP = 3
 BLOCKS = 1024
 LEVELS = 4
 SEED = 20240611
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -139,25 +140,33 @@ def prepare(docs: DataFrame, keep: list[str], levels: int = LEVELS, seed: int =
     return rows, target, scratch.stage(assigned(blocks, target, levels, seed), "mix-assigned")
 
 
+def met(rows: DataFrame, draw: DataFrame) -> DataFrame:
+    """Documents with the draws of their blocks. The draws are broadcast if they are BROADCAST_ROWS at most, so that no
+    text moves for them; more draws (very many sources) meet the documents in a sorted join by source and block."""
+    few = draw.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(draw) if few else draw.hint("merge"), ["no_src", "src", "block"])
+
+
 def with_words(rows: DataFrame, draw: DataFrame) -> DataFrame:
     """Each document once per draw of its block, with the words that the draw takes of it (cut draws included)."""
     whole = draw.where("cut is null").drop("cut")
     cut = draw.where("cut is not null")
     inside = W.partitionBy("no_src", "src", "block").orderBy("order", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = rows.join(cut, ["no_src", "src", "block"]).withColumn("before", F.sum("size").over(inside) - F.col("size"))
+    last = met(rows, cut).withColumn("before", F.sum("size").over(inside) - F.col("size"))
     took = F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut") - F.col("before"))).cast("long")
-    return rows.join(whole, ["no_src", "src", "block"]).withColumn("words", F.col("size")).unionByName(last.withColumn("words", took).drop("before", "cut"))
+    return met(rows, whole).withColumn("words", F.col("size")).unionByName(last.withColumn("words", took).drop("before", "cut"))
 
 
 def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
     """The mix: columns of ``docs`` (once per draw) and ``mix_shard, mix_position, mix_words``, shuffled inside each shard.
 
-    Documents that a draw takes no word of are left out. A cut document keeps its whole text; ``mix_words`` says how much
-    of it the mix takes. Result columns that ``docs`` has already get a trailing underscore.
+    Texts are shuffled once, to their shards. Documents that a draw takes no word of are left out. A cut document keeps
+    its whole text; ``mix_words`` says how much of it the mix takes. Result columns that ``docs`` has already get a
+    trailing underscore.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), *[F.col(c) for c in ("doc_id", "text", "source")])
-    rows, _, draw = prepare(whole, ["doc"], levels, seed)
-    took = with_words(rows, draw).where("words > 0")
+    named = docs.select(F.struct(*docs.columns).alias("doc"), *[F.col(c) for c in ("doc_id", "text", "source")])
+    _, _, draw = prepare(named, ["doc_id"], levels, seed)
+    took = with_words(sized(named, ["doc"], seed), draw).where("words > 0")
     free = lambda c: c + "_" if c in docs.columns else c
     position = F.xxhash64(F.lit(seed + 3), "shard", "pass", "order")
     out = took.select("row.doc.*", F.col("shard").alias(free("mix_shard")), position.alias(free("mix_position")), F.col("words").alias(free("mix_words")))

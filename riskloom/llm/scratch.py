@@ -8,6 +8,8 @@ back: a lost executor then costs a re-read, not a recomputation of the lineage,
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,37 @@ def root(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+_made: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scope(name: str):
+    """Paths made inside belong to ``name`` and go with :func:`release`."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete what was written in a scope: nothing that is still to be evaluated may read it."""
+    for path in _made.pop(name, []):
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    if _scope.get():
+        _made.setdefault(_scope.get(), []).append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -39,15 +69,6 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`stage` wrote and that no later plan reads."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/riskloom/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written with a unique ``uid`` for each row and the number of the writing task as ``file_no``.
 
