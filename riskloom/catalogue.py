@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from riskloom.plans import series_queries
+
+_ALL = series_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for name, (_, text) in _ALL.items() if text is not None}

@@ -68,3 +68,19 @@ def ew_mean(df: DataFrame, keys: list[str], index: str, x: str, decay: float, le
     return joined.withColumn(name, F.when(F.col("_seen") >= least, part("_wx") / positive(part("_w")))).drop(
         "_block", "_w", "_wx", "_w_before", "_wx_before", "_seen"
     )
+
+
+def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int, size: int = 50_000) -> DataFrame:
+    """Adds ``_chunk``, ``_at`` and ``_own`` so that ordered windows over a hot key become many: each key's rows are
+    numbered in order, cut into chunks, and each chunk also gets the ``halo`` rows before it (``_own`` false).
+
+    Numbering is two-level: within (keys, first order column), then by running counts of those groups.
+    """
+    first = order[0]
+    inside = df.withColumn("_in", F.row_number().over(by([*keys, first], order)) - 1)
+    counts = df.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_before", F.sum("_n").over(by(keys, first)) - F.col("_n")).drop("_n")
+    at = inside.join(offsets, [*keys, first]).withColumn("_at", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    own = F.floor(F.col("_at") / size)
+    next_too = F.when(F.col("_at") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return at.withColumn("_chunk", F.explode(next_too)).withColumn("_own", F.col("_chunk") == own)

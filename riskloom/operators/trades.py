@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import by, positive, safe_div
+from riskloom.functions.columns import by, chunked, positive, safe_div
 
 Z_95 = 1.959964
 Z_POWER_80 = 0.841621
@@ -31,12 +31,14 @@ def t_stat(x: str) -> Column:
 def effective_size(series: DataFrame, keys: list[str], order: list[str], x: str, max_lag: int = MAX_LAG) -> DataFrame:
     """(keys, n, n_eff): n / (1 + 2 sum of Pearson autocorrelations of lags 1..max_lag).
 
-    All lags come from one window: per row the previous max_lag values are one array, and one aggregation gets the
-    moments of every lag. Lags without a correlation are left out; a sum that is not positive gives n.
+    Lags need order, and a regime may hold a third of all rows, so each key's rows are cut into chunks that overlap by
+    max_lag rows. Per row the previous max_lag values are one array, and one aggregation gets the moments of every lag.
+    ``order`` starts with a column that splits a key well (a day). Lags without a correlation are left out; a sum that
+    is not positive gives n.
     """
-    w = by(keys, order)
-    d = series.where(F.col(x).isNotNull()).select(*keys, *order, F.col(x).cast("double").alias("x")).withColumn("at", F.row_number().over(w))
-    past = d.withColumn("past", F.array(*[F.lag("x", k).over(w) for k in range(1, max_lag + 1)]))
+    d = series.where(F.col(x).isNotNull()).select(*keys, *order, F.col(x).cast("double").alias("x"))
+    w = by([*keys, "_chunk"], "_at")
+    past = chunked(d, keys, order, max_lag).withColumn("past", F.array(*[F.lag("x", k).over(w) for k in range(1, max_lag + 1)])).where("_own")
     corr = [F.corr(F.when(F.col("past")[k].isNotNull(), F.col("x")), F.col("past")[k]) for k in range(max_lag)]
     usable = [F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)) for c in corr]
     total = usable[0]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import nan_to_null
@@ -47,6 +49,14 @@ def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, day, rv, r, n_bars): the variance that a day's range implies, and returns over observed days."""
+    d = daily(spark, sf_dir)
+    spread = F.ln(F.col("high") / F.col("low"))
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("day"))
+    return d.select("symbol", "day", (spread * spread / (4 * math.log(2))).alias("rv"), (F.col("close") / before - 1).alias("r"), F.col("n").alias("n_bars"))
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trade per line item with its order: regime, kill switch, prices, size, pnl and equity before."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -66,9 +76,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def members(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     """Membership months: each month's ``top`` customers by order value, as (month, symbol)."""
-    from pyspark.sql import Window as W
-
     orders = table(spark, sf_dir, "orders")
     totals = orders.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("o_custkey").alias("customer")).agg(F.sum("o_totalprice").alias("total"))
-    order = W.partitionBy("month").orderBy(F.desc(F.round("total", 2)), "customer")
+    order = Window.partitionBy("month").orderBy(F.desc(F.round("total", 2)), "customer")
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("month", F.concat(F.lit("C"), F.col("customer").cast("string")).alias("symbol"))
