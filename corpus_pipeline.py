@@ -6,10 +6,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontaminate, exact_dedup, mixing, quality, scratch, simhash
+from riskloom.llm import decontaminate, exact_dedup, mixing, quality, scratch, simhash_wide
 
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
 SCOPE = "pipeline"
 
 
@@ -39,8 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies."""
-    return simhash.drop_near_copies(docs, SHINGLE)
+    """One row of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash_wide.drop_near_copies(docs)
 
 
 @stage

@@ -119,6 +119,24 @@ def forest(place: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def meeting_tables(batches):
+    """Batches sorted by (choice, place) as tables of about COMPARED rows that hold their meeting places whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < COMPARED:
+            continue
+        table = pa.Table.from_batches(held)
+        place, choice = (table.column(c).to_numpy() for c in ("place", "choice"))
+        others = np.flatnonzero((place != place[-1]) | (choice != choice[-1]))
+        whole = int(others[-1]) + 1 if len(others) else 0
+        if whole:
+            yield table.slice(0, whole)
+        held = table.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) edges of fingerprints that connect exactly what links connect; ``distinct`` has a column fp."""
     masks = agreeing_blocks(distinct.count(), max_bits)
@@ -127,19 +145,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     placed = distinct.select("fp", meet.alias("m")).select("fp", "m.choice", "m.place")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < COMPARED:
-                continue
-            table = pa.Table.from_batches(held)
-            place, choice = (table.column(c).to_numpy() for c in ("place", "choice"))
-            whole = int(np.flatnonzero((place != place[-1]) | (choice != choice[-1]))[-1]) + 1 if ((place != place[-1]) | (choice != choice[-1])).any() else 0
-            if whole:
-                yield connect(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
-        if held:
-            yield connect(pa.Table.from_batches(held))
+        for table in meeting_tables(batches):
+            yield connect(table)
 
     def connect(table: pa.Table) -> pa.RecordBatch:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -165,27 +172,6 @@ def classes(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, max_bits:
     return rows.join(named_class.hint("merge"), "fp").select("row.kept", F.col("row.id").alias("id"), "fp", "component_id", "component")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each class, that with the smallest doc_id (null is largest); all columns as they were.
-
-    Rows to drop go back to the written documents by file and row number; no text is shuffled.
-    """
-    whole = scratch.numbered(docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), "simhash-docs")
-    found = scratch.stage(classes(whole, ["uid", "file_no"], shingle, max_bits), "simhash-found")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "kept.uid")
-    stays = scratch.stage(found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-stays")
-    gone = found.join(stays.hint("merge"), "component").where(F.col("kept.uid") != F.col("first.uid")).select("kept.uid", "kept.file_no")
-    path = scratch.beside(gone, "simhash-gone")
-
-    def run(batches):
-        side = scratch.Beside(path)
-        for file_no, batch in scratch.text_slices(batches, 64 << 20):
-            _, where = side.of(file_no, batch.column("uid").to_numpy())
-            yield batch.select(["doc"]).filter(pa.array([low == high for low, high in where]))
-
-    return whole.mapInArrow(run, whole.select("doc").schema).select("doc.*")
-
-
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -7,9 +7,9 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from test_dedup_and_decontamination import brute_hits, lower
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash_wide import brute_sets, brute_similar
 
-from riskloom.llm import quality, simhash
+from riskloom.llm import quality
 
 
 @pytest.fixture(scope="module")
@@ -45,13 +45,12 @@ def test_exact_stage_keeps_the_largest_id_of_each_text(stages):
     assert all((-1 if r.doc_id is None else r.doc_id) == max(groups[lower(r.text)]) for r in kept)
 
 
-def test_near_stage_keeps_the_smallest_id_of_each_class(stages):
+def test_near_stage_equals_brute_force(stages):
     rows = stages[2].collect()
     ids = [10**9 if r.doc_id is None else r.doc_id for r in rows]
-    fps = [brute_fingerprint(r.text, corpus_pipeline.SHINGLE) for r in rows]
-    smallest = brute_components(fps, ids, simhash.MAX_BITS)
+    smallest = brute_similar(brute_sets([r.text for r in rows]), ids)
     got = sorted(10**9 if r.doc_id is None else r.doc_id for r in stages[3].collect())
-    assert got == sorted(set(smallest))
+    assert got == sorted(smallest)
 
 
 def test_decontamination_stage_equals_brute_force(spark, sf_dir, stages):
