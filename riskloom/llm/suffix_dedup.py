@@ -11,6 +11,10 @@ directly by their bytes (to depth LENGTH), and the others are induced by one sca
 whatever stands before an entry of the array, if it is larger than its successor, is the next in its bucket. Adjacent
 common prefixes then say which windows occur again. Only suffixes that windows need take part.
 
+A gram with more than CROWD distinct contexts (a frequent line in ever new surroundings) is not left to one task: its
+windows keep a longer gram, half way to LENGTH, and what that makes equal is counted before it moves, again and again
+until the gram is the whole window and all that share it are equal.
+
 Repeated windows go back to every occurrence of their context, and to the texts by file and row number: texts are never
 shuffled, contexts once and one of each.
 
@@ -35,6 +39,8 @@ GRAM = 100
 #: Bytes of windows hashed at once inside a long text, and bytes of contexts sorted at once (whole grams).
 SEGMENT = 1 << 22
 SORTED = 1 << 21
+#: Distinct contexts of a gram that one task sorts.
+CROWD = 20_000
 
 _LOW = 23
 
@@ -44,21 +50,24 @@ _LOW = 23
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` bytes from each position on."""
-    at = np.arange(max(0, len(data) - width + 1))
-    return kernels.span_hash(data, at, at + width, lower=False)
+    n = max(0, len(data) - width + 1)
+    up, down = kernels.powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return kernels.mix((sums[width : width + n] - sums[:n]) * down[:n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, gram hash) of each context; windows as positions in ``data``."""
     parts = []
     for low in range(0, len(data), SEGMENT):
         part = data[low : low + SEGMENT + LENGTH - 1]
         if len(part) < LENGTH:
             break
-        grams = rolling(part, GRAM)
+        grams = rolling(part, gram)
         place = np.arange(len(grams), dtype=np.uint64)
         mask = np.uint64((1 << _LOW) - 1)
-        least = kernels.sliding_min((grams & ~mask) | (mask - place), LENGTH - GRAM + 1)
+        least = kernels.sliding_min((grams & ~mask) | (mask - place), LENGTH - gram + 1)
         kept = (mask - (least & mask)).astype(np.int64)
         window = np.arange(len(least)) + low
         doc = np.searchsorted(offsets[1:], window, "right")
@@ -287,6 +296,45 @@ def representatives(texts: DataFrame, path: str) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long, repeated boolean, windows int, bytes binary")
 
 
+def narrower(crowded: DataFrame, gram: int) -> DataFrame:
+    """(h, c, shift, k, d, repeated, windows, bytes): the contexts of longer grams inside contexts."""
+
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for whole in batches:
+            for batch in kernels.slices(whole, "bytes"):
+                data, offsets = kernels.text_buffer(batch.column("bytes"))
+                owner, first, last, k = contexts(data, offsets, gram)
+                raw = data.tobytes()
+                parts = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
+                d = np.array([digest(x) for x in parts], np.uint64).view(np.int64)
+                take = pa.array(owner, pa.int64())
+                own = [batch.column(c).take(take) for c in ("h", "c", "repeated")]
+                columns = [own[0], own[1], pa.array((first - offsets[owner]).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(d), own[2], pa.array((last - first + 1).astype(np.int32)), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "c", "shift", "k", "d", "repeated", "windows", "bytes"])
+
+    return crowded.select("h", "c", "repeated", "bytes").mapInArrow(run, "h long, c long, shift int, k long, d long, repeated boolean, windows int, bytes binary")
+
+
+def solve(sent: DataFrame, distinct: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(h, c, runs) of (h, c, repeated, windows, bytes) rows; ``distinct`` has their (h, c) without bytes."""
+    sorted_here = lambda rows: context_results(rows.repartition("h").sortWithinPartitions("h"))
+    if gram == LENGTH:  # all contexts of a gram are equal, and so one row
+        return sorted_here(sent)
+    crowds = scratch.stage(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("h"), "suffix-crowds")
+    if crowds.isEmpty():
+        return sorted_here(sent)
+    sent = scratch.stage(sent, "suffix-sent")
+    longer = gram + (LENGTH - gram + 1) // 2
+    parts = scratch.stage(narrower(sent.join(crowds.hint("merge"), "h", "left_semi"), longer), "suffix-narrower")
+    again = (F.count(F.lit(1)) > 1) | F.bool_or("repeated")
+    one = parts.groupBy(F.col("k").alias("h"), F.col("d").alias("c")).agg(again.alias("repeated"), F.any_value("windows").alias("windows"), F.any_value("bytes").alias("bytes"))
+    one = scratch.stage(one, "suffix-one")
+    inner = scratch.stage(solve(one, one.select("h", "c"), longer), "suffix-inner").select(F.col("h").alias("k"), F.col("c").alias("d"), "runs")
+    moved = parts.select("h", "c", "shift", "k", "d").join(inner.hint("merge"), ["k", "d"]).select("h", "c", F.transform("runs", lambda x: x + F.col("shift")).alias("runs"))
+    return sorted_here(sent.join(crowds.hint("merge"), "h", "left_anti")).unionByName(moved)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds the remaining bytes."""
     texts = scratch.numbered(docs.select("doc_id", "text"), "suffix-texts")
@@ -295,7 +343,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     distinct = scratch.stage(found.groupBy("h", "c").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.min("uid").alias("one")), "suffix-distinct")
     chosen = found.join(distinct.hint("merge"), ["h", "c"]).where("uid = one").select("uid", "file_no", "h", "c", "first", "windows", "repeated")
     sent = representatives(texts, scratch.beside(chosen, "suffix-chosen"))
-    results = scratch.stage(context_results(sent.repartition("h").sortWithinPartitions("h")), "suffix-results")
+    results = scratch.stage(solve(sent, distinct), "suffix-results")
     hits = found.join(results.hint("merge"), ["h", "c"]).select("uid", "file_no", "first", "runs")
     path = scratch.beside(hits, "suffix-hits")
 

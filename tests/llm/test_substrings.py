@@ -82,11 +82,14 @@ def make_texts(rng):
             parts.insert(rng.randint(0, 3), p[rng.randint(0, 60) : len(p) - rng.randint(0, 60)])
         texts.append("".join(parts))
     texts += [texts[20] + "x" * 199, "y" * 200, "y" * 199, texts[21], texts[21]]
+    line = prose(160)  # shorter than a window, in ever new surroundings
+    texts += [prose(rng.randint(10, 90)) + line + prose(rng.randint(10, 90)) for _ in range(30)]
     return texts + [passages[1] + prose(30) for _ in range(80)]
 
 
-@pytest.mark.parametrize(("slice_bytes", "segment", "batch"), [(1 << 21, 1 << 22, 1 << 21), (3000, 700, 900)])
-def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, segment, batch):
+@pytest.mark.parametrize(("slice_bytes", "segment", "batch", "crowd"), [(1 << 21, 1 << 22, 1 << 21, 20_000), (3000, 700, 900, 3)])
+def test_repeats_equal_brute_force(spark, monkeypatch, slice_bytes, segment, batch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     monkeypatch.setattr(suffix_dedup.kernels, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     monkeypatch.setattr(suffix_dedup, "SORTED", batch)
