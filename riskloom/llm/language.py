@@ -6,7 +6,8 @@ ranks, or PROFILE for an n-gram that the language's profile lacks. N-grams are o
 the sample; every other letter is one common symbol.
 
 Training sample (documented bound): rows outside the held-out fold with a language, of at most LONGEST characters, each
-kept with probability min(1, ROWS_PER_LANGUAGE / rows of its language) by a hash of its id, ROWS_TOTAL at most.
+kept by a hash of its id with the probability that leaves about ROWS_PER_LANGUAGE rows of its language, or as many as
+keep all languages together within ROWS_TOTAL (at most 1,000 languages, the most frequent ones).
 Prediction reads every whole text.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned; ties go
@@ -27,8 +28,8 @@ from riskloom.llm.folds import held_out, uniform
 PROFILE = 400
 LETTERS = 46
 ROWS_PER_LANGUAGE = 600
-ROWS_TOTAL = 30_000
-LONGEST = 20_000
+ROWS_TOTAL = 20_000
+LONGEST = 10_000
 SEED = 9
 #: A text of more symbols than this is counted into an array of all n-grams, a shorter one by sorting.
 DENSE = 3000
@@ -110,7 +111,8 @@ def train(docs: DataFrame) -> Model:
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
     if not counts:
         return Model([])
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, ROWS_PER_LANGUAGE / n))])
+    each = min(ROWS_PER_LANGUAGE, ROWS_TOTAL / 1.2 / len(counts))
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
     usable = rows.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST) & F.col("lang").isin(list(counts)))
     sample = usable.where(uniform(F.col("doc_id"), SEED) < shares[F.col("lang")]).select("lang", "text").limit(ROWS_TOTAL)
     return Model([(r.lang, r.text) for r in sample.collect()])
