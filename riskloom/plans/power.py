@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.var_es import stationary_indices
 
 Z = 1.959964
+MAX_CELLS = 2_000_000
 
 
 def lag_rule(n: int) -> int:
@@ -77,7 +78,9 @@ def mde(curve: DataFrame, x: str, power: str, target: float = 0.8) -> DataFrame:
 
 
 def wide(losses: DataFrame, x: str) -> np.ndarray:
-    """Days x symbols of a bounded panel of daily loss differences, for the replicates (a few symbols, some thousand days)."""
+    """Days x symbols of a panel of daily loss differences, for the replicates; at most MAX_CELLS rows leave the cluster."""
+    if losses.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        raise ValueError(f"a panel of more than {MAX_CELLS} rows is not resampled in one piece")
     pdf = losses.select("day", "symbol", x).toPandas()
     return pdf.pivot(index="day", columns="symbol", values=x).sort_index().to_numpy(float)
 

@@ -231,3 +231,16 @@ def test_selection_and_registration(spark):
     assert universe.disagreements(found, found).count() == 0
     other = frame(spark, [("A", 3, "z"), ("C", 4, "y")], "symbol string, n_days long, fingerprint string")
     assert {tuple(r) for r in universe.disagreements(found, other).collect()} == {("A", "fingerprint"), ("B", "not registered"), ("C", "missing")}
+
+
+def test_null_distributions_of_z2_agree(spark):
+    from riskloom.functions import special
+    from riskloom.plans import studies
+
+    sigma = np.exp(np.random.default_rng(0).normal(-4, 0.3, 300))
+    q, es = special.tail_constants(0.05)
+    general = studies.z2_null_of(spark, sigma * q, sigma * es, 0.05, lambda rng, n: rng.standard_normal((n, 300)) * sigma, 600, 1)
+    special_case = studies.z2_null(spark, 300, 0.05, None, 600, 1)
+    assert np.allclose(sorted(r.z2 for r in general.collect()), sorted(r.z2 for r in special_case.collect()))
+    with pytest.raises(ValueError):
+        studies.z2_null_of(spark, [-1.0], [-0.5], 0.05, None, 1, 1)
