@@ -65,20 +65,17 @@ def contexts(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[n
         if len(part) < LENGTH:
             break
         grams = rolling(part, gram)
-        place = np.arange(len(grams), dtype=np.uint64)
-        mask = np.uint64((1 << _LOW) - 1)
-        least = kernels.sliding_min((grams & ~mask) | (mask - place), LENGTH - gram + 1)
-        kept = (mask - (least & mask)).astype(np.int64)
-        window = np.arange(len(least)) + low
-        doc = np.searchsorted(offsets[1:], window, "right")
-        fits = window + LENGTH <= offsets[np.minimum(doc + 1, len(offsets) - 1)]
-        window, doc, kept = window[fits], doc[fits], kept[fits]
-        if not len(window):
-            continue
-        new = np.concatenate([[True], (kept[1:] != kept[:-1]) | (doc[1:] != doc[:-1])])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(window)]]) - 1
-        parts.append((doc[first], window[first], window[last], grams[kept[first]]))
+        low_bits = np.uint64((1 << _LOW) - 1)
+        late = np.arange(int(low_bits), int(low_bits) - len(grams), -1, dtype=np.uint64)  # the rightmost of equal hashes is least
+        kept = kernels.sliding_min((grams & ~low_bits) | late, LENGTH - gram + 1) & low_bits
+        # Runs of windows that keep one gram, cut where a document starts and where its last window has been.
+        cuts = [np.flatnonzero(kept[1:] != kept[:-1]) + 1, offsets - low, offsets - low - LENGTH + 1]
+        first = np.unique(np.concatenate([[0], *(c[(c > 0) & (c < len(kept))] for c in cuts)]))
+        last = np.append(first[1:], len(kept)) - 1
+        doc = np.searchsorted(offsets[1:], first + low, "right")
+        fits = first + low + LENGTH <= offsets[np.minimum(doc + 1, len(offsets) - 1)]
+        first, last, doc = first[fits], last[fits], doc[fits]
+        parts.append((doc, first + low, last + low, grams[(low_bits - kept[first]).astype(np.int64)]))
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -121,11 +118,9 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than their successors; equal bytes take the type of what follows them."""
-    n = len(text)
-    differs = np.concatenate([text[1:] != text[:-1], [True]])
-    following = np.flatnonzero(differs)
-    at = following[np.searchsorted(following, np.arange(n))]
-    return (at < n - 1) & (text[at] < np.concatenate([text, [0]])[np.minimum(at + 1, n)])
+    ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]])) if len(text) else np.zeros(0, np.int64)
+    rises = np.append(text[ends[:-1]] < text[ends[:-1] + 1], False)[: len(ends)]
+    return np.repeat(rises, np.diff(ends, prepend=-1))
 
 
 def sort_directly(eight: np.ndarray, pos: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -156,12 +151,12 @@ def sort_directly(eight: np.ndarray, pos: np.ndarray, whole: np.ndarray) -> np.n
     return pos
 
 
-def suffix_order(text: np.ndarray, needed: np.ndarray, eight: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """The needed suffixes in order of their first LENGTH bytes, by two-stage sorting.
+def suffix_order(text: np.ndarray, small: np.ndarray, needed: np.ndarray, eight: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The needed suffixes in order of their first LENGTH bytes, by two-stage sorting; ``small`` marks those smaller
+    than their successors.
 
     ``needed`` must hold, with a suffix larger than its successor, the successor too.
     """
-    small = smaller_than_next(text)
     direct = sort_directly(eight, np.flatnonzero(small & needed), whole)
     first_of = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, int)
     induced = needed & ~small
@@ -221,7 +216,7 @@ def repeated_windows(text: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
     hashed = rolling(text, LENGTH)
     whole[: len(hashed)] = hashed
     whole[len(hashed) :] = np.arange(n - len(hashed))
-    order = suffix_order(text, needed, eight, whole)
+    order = suffix_order(text, small, needed, eight, whole)
     order = order[is_window[order]]
     same = common_prefix(eight, order[:-1], order[1:]) >= LENGTH
     group = np.cumsum(np.concatenate([[0], ~same])) if len(order) else np.zeros(0, int)

@@ -59,7 +59,7 @@ def test_suffix_order_is_the_sorted_order():
     for size, letters in ((1, 2), (2, 1), (400, 1), (900, 2), (900, 256), (60, 3)):
         text = rng.integers(0, letters, size).astype(np.uint8)
         hashes = np.arange(size).astype(np.uint64)
-        got = suffix_dedup.suffix_order(text, np.ones(size, bool), suffix_dedup.eight_bytes(text), hashes)
+        got = suffix_dedup.suffix_order(text, suffix_dedup.smaller_than_next(text), np.ones(size, bool), suffix_dedup.eight_bytes(text), hashes)
         raw = text.tobytes()
         prefix = [raw[i : i + suffix_dedup.LENGTH] for i in got]
         assert sorted(got.tolist()) == list(range(size)) and prefix == sorted(prefix)
