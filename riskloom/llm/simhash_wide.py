@@ -9,7 +9,9 @@ Hamming distance: at most SURE bits link at once, up to LOOSE bits are candidate
 of the sure links and a minimum spanning forest of the candidates between its trees, never its pairs.
 
 Candidates that sure links have not joined already, one of each two components, are decided by the exact Jaccard
-similarity of their shingle sets. Classes are components of sure and verified links.
+similarity of their shingle sets. Classes are components of sure and verified links. Where a candidate between two of
+them was refuted, the classes on both sides meet once more and every candidate between two classes is decided: a forest
+may have left out a similar pair for an edge that was then refuted. A family of n texts below the similarity costs n * n.
 
 Defined results: null and wordless texts have fingerprint zero and are one class; fewer words than a shingle make one
 shingle of them all; repeated rows share a class; empty tables give empty results.
@@ -36,7 +38,7 @@ MEET = 0.99
 SURE = 20
 LOOSE = 52
 PIVOTS = 4
-#: Candidate pairs that a meeting place holds before it reduces them to a forest.
+#: Candidate pairs that a meeting place holds before it reduces them to a forest, or hands them on.
 HELD = 1 << 20
 
 _FIELDS = [f"f{w}" for w in range(WORDS)]
@@ -98,11 +100,41 @@ def reduce_candidates(root: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.n
     return np.array(keep, np.int64)
 
 
+def count(x: np.ndarray) -> np.ndarray:
+    """Bits that are 1 in each row of words."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int16)
+
+
+def pivot_table(fp: np.ndarray) -> list[np.ndarray]:
+    """Distances to the reference fingerprints."""
+    refs = np.random.default_rng(SEED).integers(0, 1 << 64, (PIVOTS, WORDS), dtype=np.uint64)
+    return [count(fp ^ r) for r in refs]
+
+
+def pairs_apart(place: np.ndarray, fp: np.ndarray, component: np.ndarray):
+    """(i, j) arrays of all pairs of two components within LOOSE bits, in each run of equal ``place``."""
+    table = pivot_table(fp)
+    held, size = [], 0
+    shift, alive = 1, np.arange(len(fp) - 1)
+    while len(alive := alive[alive + shift < len(fp)]):
+        alive = alive[place[alive] == place[alive + shift]]
+        near = alive[component[alive] != component[alive + shift]]
+        for coordinate in table:
+            near = near[np.abs(coordinate[near] - coordinate[near + shift]) <= LOOSE]
+        near = near[count(fp[near] ^ fp[near + shift]) <= LOOSE]
+        held.append((near, near + shift))
+        size += len(near)
+        if size > HELD:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+        shift += 1
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def forests(place: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, bits): forests of links within each run of equal ``place``; ``fp`` has a row of WORDS words each."""
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int16)
-    refs = np.random.default_rng(SEED).integers(0, 1 << 64, (PIVOTS, WORDS), dtype=np.uint64)
-    table = [count(fp ^ r) for r in refs]
+    table = pivot_table(fp)
     root = np.arange(len(fp))
     sure: list[tuple[int, int, int]] = []
     held = [np.zeros(0, np.int64) for _ in range(3)]
@@ -148,9 +180,8 @@ def fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("uid", "file_no", "doc_id", "text").mapInArrow(run, f"uid long, file_no int, id {kind}, " + ", ".join(f"{f} long" for f in _FIELDS))
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b, bits) of (uid, f0..) nodes with distinct fingerprints."""
-    chosen = choices(nodes.count())
+def met(nodes: DataFrame, chosen: list[np.ndarray], columns: list[str]) -> DataFrame:
+    """(choice, place, columns, f0..) of nodes in each of their meeting places, sorted by place."""
 
     def place(batches):
         for batch in batches:
@@ -159,22 +190,43 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
                 key = np.zeros(batch.num_rows, np.uint64)
                 for j, b in enumerate(bits.tolist()):
                     key |= (words[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(j)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number, np.int32)), pa.array(key.view(np.int64)), *(batch.column(c) for c in ("uid", *_FIELDS))], ["choice", "place", "uid", *_FIELDS])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number, np.int32)), pa.array(key.view(np.int64)), *(batch.column(c) for c in (*columns, *_FIELDS))], ["choice", "place", *columns, *_FIELDS])
+
+    fields = ", ".join(f"{f} long" for f in (*columns, *_FIELDS))
+    placed = nodes.select(*columns, *_FIELDS).mapInArrow(place, f"choice int, place long, {fields}")
+    return placed.repartition("choice", "place").sortWithinPartitions("choice", "place")
+
+
+def runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the meeting place, fingerprint) of each row of a sorted table."""
+    at, choice = table.column("place").to_numpy(), table.column("choice").to_numpy()
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (choice[1:] != choice[:-1])])
+    return np.cumsum(new), np.column_stack([table.column(f).to_numpy().view(np.uint64) for f in _FIELDS])
 
-    fields = ", ".join(f"{f} long" for f in _FIELDS)
-    placed = nodes.select("uid", *_FIELDS).mapInArrow(place, f"choice int, place long, uid long, {fields}")
+
+def candidate_edges(nodes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
+    """(a, b, bits) of (uid, f0..) nodes with distinct fingerprints."""
 
     def connect(batches):
         for table in meeting_tables(batches):
-            at, choice, uid = (table.column(c).to_numpy() for c in ("place", "choice", "uid"))
-            fp = np.column_stack([table.column(f).to_numpy().view(np.uint64) for f in _FIELDS])
-            new = np.concatenate([[True], (at[1:] != at[:-1]) | (choice[1:] != choice[:-1])])
-            i, j, bits = forests(np.cumsum(new), fp)
+            uid = table.column("uid").to_numpy()
+            i, j, bits = forests(*runs(table))
             low, high = np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(bits.astype(np.int32))], ["a", "b", "bits"])
 
-    met = placed.repartition("choice", "place").sortWithinPartitions("choice", "place")
-    return met.mapInArrow(connect, "a long, b long, bits int").distinct()
+    return met(nodes, chosen, ["uid"]).mapInArrow(connect, "a long, b long, bits int").distinct()
+
+
+def remaining_pairs(nodes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
+    """(a, b) of all pairs of (uid, component, f0..) nodes that meet, are candidates and belong to two components."""
+
+    def connect(batches):
+        for table in meeting_tables(batches):
+            uid = table.column("uid").to_numpy()
+            for i, j in pairs_apart(*runs(table), table.column("component").to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j]))], ["a", "b"])
+
+    return met(nodes, chosen, ["uid", "component"]).mapInArrow(connect, "a long, b long").distinct()
 
 
 def verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -211,15 +263,26 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     """(uid, file_no, id, component) of each row of a numbered table with doc_id and text."""
     rows = scratch.stage(fingerprints(texts, shingle), "near-rows")
     nodes = scratch.stage(rows.groupBy(*_FIELDS).agg(F.min("uid").alias("uid")), "near-nodes")
-    edges = scratch.stage(candidate_edges(nodes), "near-edges")
+    chosen = choices(nodes.count())
+    edges = scratch.stage(candidate_edges(nodes, chosen), "near-edges")
     sure = edges.where(F.col("bits") <= SURE).select("a", "b")
-    member = scratch.stage(components(sure), "near-sure")
-    side = lambda e: member.select(F.col("node").alias(e), F.col("component").alias(f"c{e}"))
-    loose = edges.where(F.col("bits") > SURE).join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
-    loose = loose.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    one = loose.where("ca <> cb").groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("h")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e"))
+
+    def apart(member: DataFrame) -> DataFrame:
+        """Candidates with the components ca and cb of their ends, where these are two."""
+        side = lambda e: member.select(F.col("node").alias(e), F.col("component").alias(f"c{e}"))
+        loose = edges.where(F.col("bits") > SURE).join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
+        return loose.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+    loose = apart(scratch.stage(components(sure), "near-sure"))
+    one = loose.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("h")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e"))
     pairs = scratch.stage(one.select("e.a", "e.b"), "near-pairs")
     links = sure.unionByName(scratch.stage(verified(texts, pairs, shingle, similarity), "near-verified"))
+    member = scratch.stage(components(links), "near-member")
+    refuted = apart(member)
+    sides = scratch.stage(refuted.select(F.col("ca").alias("component")).unionByName(refuted.select(F.col("cb").alias("component"))).distinct(), "near-sides")
+    again = nodes.join(member.withColumnRenamed("node", "uid").hint("merge"), "uid", "left").withColumn("component", F.coalesce("component", "uid")).join(sides.hint("merge"), "component")
+    rest = scratch.stage(remaining_pairs(again, chosen).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    links = links.unionByName(scratch.stage(verified(texts, rest, shingle, similarity), "near-rest-verified"))
     final = components(links).select(F.col("node").alias("uid"), "component")
     named = scratch.stage(nodes.join(final.hint("merge"), "uid", "left").select(*_FIELDS, F.coalesce("component", "uid").alias("component")), "near-named")
     return rows.join(named.hint("merge"), _FIELDS).select("uid", "file_no", "id", "component")

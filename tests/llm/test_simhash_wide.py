@@ -99,3 +99,19 @@ def test_empty_and_choices(spark):
     assert simhash_wide.classes(scratch.numbered(none, "empty")).count() == 0
     few, many = simhash_wide.choices(1000), simhash_wide.choices(10**8)
     assert len(few[0]) < len(many[0]) and len(few) < len(many)
+
+
+def test_twins_in_a_template_family_are_found(spark):
+    pairs, words = 100, iter(f"w{i}" for i in range(10**6))
+    some = lambda n: [next(words) for _ in range(n)]
+    template, texts = some(259), []
+    for _ in range(pairs):
+        shared = some(15)
+        texts += [" ".join(template + shared + some(30)) for _ in range(2)]
+    sets = brute_sets(texts)
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert share(0, 1) > 0.81 and share(0, 2) < 0.75
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash_wide.drop_near_copies(docs).collect()}
+    assert sum(2 * k in got and 2 * k + 1 in got for k in range(pairs)) <= 4  # 1 % of pairs need not meet
+    assert len(got) >= pairs - 4  # links of at most SURE bits are not verified
