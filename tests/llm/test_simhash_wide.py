@@ -115,3 +115,22 @@ def test_twins_in_a_template_family_are_found(spark):
     got = {r.doc_id for r in simhash_wide.drop_near_copies(docs).collect()}
     assert sum(2 * k in got and 2 * k + 1 in got for k in range(pairs)) <= 4  # 1 % of pairs need not meet
     assert len(got) >= pairs - 4  # links of at most SURE bits are not verified
+
+
+def test_a_refuted_pair_does_not_part_two_components(spark):
+    def family(seed):
+        rng = random.Random(seed)
+        some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        left, a, b, right = some(140), some(31), some(31), some(133)
+        blocks = [a, b[:1] + a[1:], b, b[:-1] + a[-1:]]  # two near copies of a text, two of another
+        return [" ".join(left + block + right) for block in blocks]
+
+    def facts(texts):
+        sets, fp = brute_sets(texts), [np.array(simhash_wide.wide_fingerprint(simhash_wide.shingle_hashes(t, 5))).view(np.uint64) for t in texts]
+        bits = {(i, j): int(np.bitwise_count(fp[i] ^ fp[j]).sum()) for i in range(4) for j in range(i + 1, 4)}
+        cross = sorted((bits[i, j], len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8) for i in (0, 1) for j in (2, 3))
+        return bits[0, 1] <= simhash_wide.SURE and bits[2, 3] <= simhash_wide.SURE and simhash_wide.SURE < cross[0][0] < cross[1][0] <= cross[-1][0] <= simhash_wide.LOOSE - 8 and not cross[0][1] and any(x[1] for x in cross)
+
+    texts = next(t for t in map(family, range(1000)) if facts(t))  # the fewest bits are of a pair below the similarity
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash_wide.drop_near_copies(docs).collect()] == [0]
