@@ -24,7 +24,7 @@ def garch_fit(spark, sf):
 
 
 def garch_forecast(spark, sf):
-    return tidy(garch.var_es(garch.walk_forward_forecasts(_returns(spark, sf).where("day < date'1997-01-01'")), 0.05), 4)
+    return tidy(garch.var_es(garch.walk_forward_forecasts(_returns(spark, sf)), 0.05), 4)
 
 
 def risk_table(spark, sf):
@@ -32,7 +32,7 @@ def risk_table(spark, sf):
 
 
 def bootstrap_power(spark, sf):
-    d = _losses(spark, sf).withColumn("d", F.col("q_a") - F.col("q_b")).where("day < date'1997-01-01'")
+    d = _losses(spark, sf).withColumn("d", F.col("q_a") - F.col("q_b"))
     return tidy(power.criterion_power(spark, power.wide(d, "d"), np.linspace(0, 0.5, 11), 60, 30, 2101))
 
 
