@@ -27,24 +27,47 @@ def root(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
-_scope: ContextVar[str | None] = ContextVar("scope", default=None)
-_made: dict[str, list[str]] = {}
+_scopes: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
+
+
+class Scope:
+    """The paths made inside one :func:`scope` block."""
+
+    def __init__(self, spark: SparkSession, outer: tuple[Scope, ...]):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def place(self, name: str) -> str:
+        """A new path of the enclosing scope: it stays when this one ends."""
+        token = _scopes.set(self.outer)
+        try:
+            return folder(self.spark, name)
+        finally:
+            _scopes.reset(token)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table of the enclosing scope."""
+        return stage(df, name, self.place(name))
+
+    def release(self) -> None:
+        """Delete what was written inside: nothing that is still to be evaluated may read it."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
 
 
 @contextmanager
-def scope(name: str):
-    """Paths made inside belong to ``name`` and go with :func:`release`."""
-    token = _scope.set(name)
+def scope(spark: SparkSession):
+    """Tables made inside go when the block ends; evaluate what reads them before, or write it by ``result``.
+
+    Around a query, it frees what the query keeps in the shared folder; each block has its own list, so overlapping runs
+    leave each other's tables alone.
+    """
+    own = Scope(spark, _scopes.get())
+    token = _scopes.set((*own.outer, own))
     try:
-        yield
+        yield own
     finally:
-        _scope.reset(token)
-
-
-def release(spark: SparkSession, name: str) -> None:
-    """Delete what was written in a scope: nothing that is still to be evaluated may read it."""
-    for path in _made.pop(name, []):
-        remove(spark, path)
+        _scopes.reset(token)
+        own.release()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,17 +78,16 @@ def remove(spark: SparkSession, path: str) -> None:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = f"{root(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
-    if _scope.get():
-        _made.setdefault(_scope.get(), []).append(path)
+    if _scopes.get():
+        _scopes.get()[-1].paths.append(path)
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, to a new path unless one is given, and return the written table."""
     spark = df.sparkSession
-    path = folder(spark, name)
-    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path = path or folder(spark, name)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

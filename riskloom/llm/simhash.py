@@ -22,6 +22,8 @@ empty tables give empty results; extra columns may have any name.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,29 +41,44 @@ SEED = 42
 PIVOTS = 12
 #: Mean members of a meeting place that the number of agreeing blocks aims at.
 MEETING = 256
-#: Shingles hashed at once, and members of meeting places compared at once.
-HASHED = 1 << 18
+#: Bytes of a text whose shingles are hashed at once, and members of meeting places compared at once.
+SEGMENT = 1 << 21
 COMPARED = 1 << 18
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str | None, n: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < n:
-        n = len(words)
+def hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of each n consecutive words, joined by spaces."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - n + 1].tolist()
-    stops = ends[n - 1 :].tolist()
-    ones, hash_of = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(starts), HASHED):
-        some = [hash_of(joined[a:b], SEED) for a, b in zip(starts[at : at + HASHED], stops[at : at + HASHED])]
-        octets = np.array(some, np.uint64).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = 2 * ones > len(starts)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+    hash_of = xxhash.xxh64_intdigest
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist())], np.uint64)
+
+
+def shingles(text: str | None, n: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's n-word shingles in parts of about SEGMENT bytes, cut between words; fewer words make one shingle."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    held, at, found = [], 0, False
+    while at < len(data):
+        space = SPACE.search(data, at + SEGMENT)
+        end = space.start() if space else len(data)
+        held += data[at:end].split()
+        at = end
+        if len(held) >= n:
+            yield hashes(held, n)
+            held, found = held[len(held) - n + 1 :], True
+    if held and not found:
+        yield hashes(held, len(held))
+
+
+def fingerprint(text: str | None, n: int) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    ones, size = np.zeros(64, np.int64), 0
+    for part in shingles(text, n):
+        size += len(part)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > size, bitorder="little").view(np.int64)[0]) if size else 0
 
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:

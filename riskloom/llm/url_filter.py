@@ -105,7 +105,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redire
     if edges.isEmpty():
         verdict = F.coalesce(own, F.lit("allow"))
         return ruled.select("page_id", "host", "path", F.col("rule.name").alias("rule"), verdict.alias("verdict"))
-    members = scratch.stage(components(edges), "url-components")
+    members = components(edges)
     known = judged(members.withColumn("host", F.regexp_extract("node", "^[^/?#]*", 0)).withColumn("path", F.regexp_extract("node", "^[^/?#]*([^?#]*)", 1)), rules)
     blocked = (
         known.groupBy("component")

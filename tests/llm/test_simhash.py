@@ -101,5 +101,5 @@ def test_no_link_is_lost(spark, monkeypatch, meeting):
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(5000))
     whole = simhash.fingerprint(text, 4)
-    monkeypatch.setattr(simhash, "HASHED", 64)
+    monkeypatch.setattr(simhash, "SEGMENT", 64)
     assert simhash.fingerprint(text, 4) == whole == np.uint64(brute_fingerprint(text)).astype(np.int64)

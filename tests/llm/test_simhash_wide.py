@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import scratch, simhash_wide
+from riskloom.llm import scratch, simhash, simhash_wide
 
 
 def brute_sets(texts, n=5):
@@ -73,6 +74,51 @@ def test_a_large_group_is_one_class(spark, monkeypatch):
     assert [r.doc_id for r in simhash_wide.drop_near_copies(docs).collect()] == [0]
 
 
+@pytest.mark.parametrize(("least", "most", "dense"), [(3, 4, 2048), (3, 5, 16), (4, 5, 2048), (1, 6, 16)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, least, most, dense):
+    monkeypatch.setattr(simhash_wide, "DENSE", dense)
+    texts = []
+    for seed in range(3):
+        rng = random.Random(seed)
+        base = [f"w{seed}x{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(least, most)):
+                w[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = brute_sets(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.component for r in simhash_wide.classes(scratch.numbered(docs, "dense")).collect()}
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 100
+    assert sum(found[i] != found[j] for i, j in links) <= 0.01 * len(links)
+    joined, smallest = defaultdict(set), brute_similar(sets, range(len(sets)))
+    for i, c in found.items():
+        joined[c].add(i)
+    assert len(joined) >= len(smallest)  # no class holds more than verified links join
+
+
+def test_small_sets_meet_whatever_their_bits(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        n = rng.randint(8, 20)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash_wide.drop_near_copies(docs).collect())
+    assert got == sorted(brute_similar(brute_sets(texts), range(len(texts))))
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = "".join(random.Random(7).choice(["a", "B", "é", " ", "\n", "\t"]) for _ in range(5000))
+    whole = [simhash_wide.shingle_hashes(text, n) for n in (1, 5, 9000)]
+    print_of = [simhash.fingerprint(text, n) for n in (1, 4, 9000)]
+    monkeypatch.setattr(simhash, "SEGMENT", 40)
+    assert all((a == simhash_wide.shingle_hashes(text, n)).all() for a, n in zip(whole, (1, 5, 9000)))
+    assert print_of == [simhash.fingerprint(text, n) for n in (1, 4, 9000)]
+
+
 def test_forests_connect_what_links_connect():
     rng = np.random.default_rng(5)
     fp = rng.integers(0, 1 << 64, (30, simhash_wide.WORDS), dtype=np.uint64)
