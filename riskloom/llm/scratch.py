@@ -99,12 +99,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stage(df.withColumn("uid", F.monotonically_increasing_id()).withColumn("file_no", F.spark_partition_id()), name)
 
 
-def beside(rows: DataFrame, name: str) -> str:
+def beside(rows: DataFrame, name: str, path: str | None = None) -> str:
     """Write rows that belong to texts of a :func:`numbered` table, by ``file_no`` and sorted by ``uid``.
 
     Tasks over the texts then read their own rows with :class:`Beside`: no text is shuffled, nothing is broadcast.
     """
-    path = folder(rows.sparkSession, name)
+    path = path or folder(rows.sparkSession, name)
     rows.repartition("file_no").sortWithinPartitions("file_no", "uid").write.partitionBy("file_no").option("compression", "zstd").parquet(path)
     return path
 
@@ -118,8 +118,7 @@ class Beside:
         self.system, self.place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
         self.file_no = None
 
-    def of(self, file_no: int, uids) -> tuple[dict, list[tuple[int, int]]]:
-        """(columns as arrays, slice of them for each uid)."""
+    def _open(self, file_no: int) -> None:
         import numpy as np
         import pyarrow.dataset as ds
         from pyarrow import fs
@@ -127,12 +126,31 @@ class Beside:
         if file_no != self.file_no:
             place = f"{self.place}/file_no={file_no}"
             found = self.system.get_file_info(place).type == fs.FileType.Directory
-            table = ds.dataset(place, filesystem=self.system, format="parquet").to_table().sort_by("uid") if found else None
-            self.columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in table.column_names} if found else {"uid": np.zeros(0, np.int64)}
-            self.file_no = file_no
-        low, high = (np.searchsorted(self.columns["uid"], uids, side) for side in ("left", "right"))
+            self.table = ds.dataset(place, filesystem=self.system, format="parquet").to_table().sort_by("uid") if found else None
+            self.uid = self.table.column("uid").to_numpy() if found else np.zeros(0, np.int64)
+            self.columns, self.file_no = None, file_no
+
+    def of(self, file_no: int, uids) -> tuple[dict, list[tuple[int, int]]]:
+        """(columns as arrays, slice of them for each uid)."""
+        import numpy as np
+
+        self._open(file_no)
+        if self.columns is None:
+            self.columns = {c: self.table.column(c).to_numpy(zero_copy_only=False) for c in self.table.column_names} if self.table is not None else {"uid": self.uid}
+        low, high = (np.searchsorted(self.uid, uids, side) for side in ("left", "right"))
         return self.columns, list(zip(low.tolist(), high.tolist()))
 
+    def rows(self, file_no: int, uids):
+        """(the place of each uid's one row, null without one; the file's table or None)."""
+        import numpy as np
+        import pyarrow as pa
+
+        self._open(file_no)
+        if self.table is None:
+            return pa.nulls(len(uids), pa.int64()), None
+        at = np.searchsorted(self.uid, uids)
+        return pa.array(at, pa.int64(), mask=self.uid[np.minimum(at, len(self.uid) - 1)] != uids), self.table
+
 
 def text_slices(batches, limit: int):
     """(file_no, record batch) parts of batches of a :func:`numbered` table, each of one file and about ``limit`` bytes."""

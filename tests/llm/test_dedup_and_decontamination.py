@@ -83,18 +83,28 @@ def test_classes_equal_brute_force(spark, copies):
     for doc, text in copies:
         groups[lower(text)].append(doc)
     frame = spark.createDataFrame(copies, "doc_id long, text string").withColumn("gid", exact_dedup.F.lit("clash")).withColumn("digit", exact_dedup.F.lit(1))
-    got = exact_dedup.classes(frame, ["doc_id", "gid", "digit"]).collect()
+    got = exact_dedup.classes(frame, ["doc_id", "gid", "digit", "text"]).collect()
     assert len(got) == len(copies)
     kept = defaultdict(int)
     for r in got:
-        group = groups[lower(r.text)]
+        group = groups[lower(r.row.text)]
         assert r.keep_id == max((d for d in group if d is not None), default=None)
         assert r.group_size == len(group)
-        kept[lower(r.text)] += r.kept
+        kept[lower(r.row.text)] += r.kept
         assert not r.kept or r.row.doc_id == r.keep_id
+        assert r.text_sha256 == hashlib.sha256(lower(r.row.text).encode()).hexdigest()
     assert set(kept.values()) == {1} and len(kept) == len(groups)
 
 
+def test_digits_sent_in_many_parts_and_wide_levels(spark, copies, monkeypatch):
+    frame = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    look = lambda: sorted(map(str, exact_dedup.classes(frame, ["doc_id"]).drop("kept").collect()))
+    whole = look()
+    monkeypatch.setattr(exact_dedup, "HELD", 100)
+    monkeypatch.setattr(exact_dedup, "WIDEST", 256)
+    assert look() == whole
+
+
 def test_drop_copies_keeps_columns_and_empty_tables(spark, copies):
     frame = spark.createDataFrame([(d, t, "x") for d, t in copies], "doc_id long, text string, n string")
     out = exact_dedup.drop_copies(frame)
