@@ -7,7 +7,10 @@ by line length, give a document's raw quality; a logistic map fitted on the trai
 whose 0.7 is the cut that separates the sample best.
 
 Training sample (documented bound): TRAIN_ROWS labelled rows outside the held-out fold at most, those with the smallest
-hashes of their id, whose texts have at most LONGEST characters and MOST_LINES lines. Scoring reads every whole text.
+hashes, whose texts have at most LONGEST characters and MOST_LINES lines, and of these rows, in order of their hash, as many
+as have TRAIN_LINES lines in all. Scoring reads every whole text: features are built for CHUNK bytes of lines at a time (a
+longer line in parts between its words), and a document of more than LONG lines is scored by transfer matrices of blocks of
+its lines, so what a document needs besides its text is about 100 bytes a line.
 
 Defined results: texts without lines (null, empty, only line feeds) get the score of the sample's share of good
 documents; labels that are null are ignored; with no usable labels every score is 0.5; repeated rows get a row each.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +28,13 @@ from riskloom.llm import kernels
 from riskloom.llm.folds import held_out
 
 TRAIN_ROWS = 4000
+TRAIN_LINES = 60_000
 LONGEST = 50_000
 MOST_LINES = 200
+#: Bytes and lines of features built at once, and lines of a document above which it is scored in blocks.
+CHUNK = 1 << 20
+CHUNK_LINES = 1 << 15
+LONG = 4096
 CUT = 0.7
 SEED = 2
 STEPS = 300
@@ -59,42 +68,101 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(stops) + 1, np.searchsorted(offsets[1:], start, "right")
 
 
+def line_chunks(start: np.ndarray, end: np.ndarray):
+    """(first, past) of lines whose bytes lie within CHUNK; a longer line is one by itself."""
+    at = 0
+    while at < len(start):
+        past = min(at + CHUNK_LINES, int(np.searchsorted(end, start[at] + CHUNK, "right")))
+        yield at, max(past, at + 1)
+        at = max(past, at + 1)
+
+
+def repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each line's document has it more than once (but for the case of A-Z)."""
+    whole = np.empty(len(start), np.uint64)
+    for a, b in line_chunks(start, end):
+        low, high = start[a], end[b - 1]
+        if high - low > CHUNK:
+            whole[a] = xxhash.xxh3_64_intdigest(kernels.ascii_lower()[data[low:high]].tobytes())
+        else:
+            whole[a:b] = kernels.span_hash(data[low:high], start[a:b] - low, end[a:b] - low)
+    _, back, times = np.unique(whole ^ kernels.mix(doc.astype(np.uint64)), return_inverse=True, return_counts=True)
+    return times[back] > 1
+
+
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """One row of N_FEATURES per line."""
-    n, size = len(start), (end - start).astype(float)
-    out = np.zeros((n, N_FEATURES), np.float32)
+    out = np.zeros((len(start), N_FEATURES), np.float32)
+    for (a, b), rows in zip(line_chunks(start, end), feature_chunks(data, start, end, doc)):
+        out[a:b] = rows
+    return out
+
+
+def feature_chunks(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray):
+    """The features of each of the :func:`line_chunks`."""
+    again = repeats(data, start, end, doc)
+    in_doc = np.log1p(np.bincount(doc, minlength=int(doc.max()) + 1 if len(doc) else 0))
+    for a, b in line_chunks(start, end):
+        low, high = start[a], end[b - 1]
+        size = (end[a:b] - start[a:b]).astype(float)
+        out = np.zeros((b - a, N_FEATURES), np.float32)
+        counted = long_line(data[low:high]) if high - low > CHUNK else counts(data[low:high], start[a:b] - low, end[a:b] - low)
+        of_class, words, same, marked, letters = counted
+        words = np.maximum(1, words)
+        out[:, :_CLASSES] = of_class / size[:, None]
+        out[:, _CLASSES : _CLASSES + 2] = same / words[:, None]
+        out[:, _CLASSES + 2], out[:, _CLASSES + 3], out[:, _CLASSES + 4] = marked / words, np.log1p(size), letters / words
+        out[:, _CLASSES + 5], out[:, _CLASSES + 6], out[:, _CLASSES + 7] = again[a:b], in_doc[doc[a:b]], np.log1p(words)
+        yield out
+
+
+def counts(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Per line: bytes of each class, words, words equal to the one and the two before, words that end in a mark, their bytes."""
+    n = len(start)
     line_of = np.repeat(np.arange(n), end - start)
-    inside = data[data != 10]
-    out[:, :_CLASSES] = np.bincount(line_of * _CLASSES + CLASS_OF_BYTE[inside], minlength=n * _CLASSES).reshape(n, _CLASSES) / size[:, None]
-    at, stop, _ = kernels.tokens(data, np.append(start, len(data)) if n else np.zeros(1, np.int64), "dark")
+    of_class = np.bincount(line_of * _CLASSES + CLASS_OF_BYTE[data[data != 10]], minlength=n * _CLASSES).reshape(n, _CLASSES)
+    at, stop, _ = kernels.tokens(data, np.append(start, len(data)), "dark")
     owner = np.searchsorted(start, at, "right") - 1
     words = kernels.span_hash(data, at, stop)
-    count = np.maximum(1, np.bincount(owner, minlength=n))
-    for column, lag in enumerate((1, 2), _CLASSES):
+    same = np.zeros((n, 2))
+    for lag in (1, 2):
         if len(words) > lag:
-            same = (words[lag:] == words[:-lag]) & (owner[lag:] == owner[:-lag])
-            out[:, column] = np.bincount(owner[lag:][same], minlength=n) / count
-    last = data[np.maximum(stop - 1, 0)] if len(stop) else np.zeros(0, np.uint8)
-    marked = (CLASS_OF_BYTE[last] >= 6).astype(float)
-    out[:, _CLASSES + 2] = np.bincount(owner, marked, minlength=n) / count
-    out[:, _CLASSES + 3] = np.log1p(size)
-    out[:, _CLASSES + 4] = np.bincount(owner, stop - at, minlength=n) / count
-    whole = kernels.span_hash(data, start, end) ^ kernels.mix(doc.astype(np.uint64))
-    _, back, times = np.unique(whole, return_inverse=True, return_counts=True)
-    out[:, _CLASSES + 5] = times[back] > 1
-    out[:, _CLASSES + 6] = np.log1p(np.bincount(doc, minlength=int(doc.max()) + 1 if n else 0)[doc])
-    out[:, _CLASSES + 7] = np.log1p(count)
+            equal = (words[lag:] == words[:-lag]) & (owner[lag:] == owner[:-lag])
+            same[:, lag - 1] = np.bincount(owner[lag:][equal], minlength=n)
+    marked = (CLASS_OF_BYTE[data[stop - 1]] >= 6).astype(float) if len(stop) else np.zeros(0)
+    return of_class, np.bincount(owner, minlength=n), same, np.bincount(owner, marked, minlength=n), np.bincount(owner, stop - at, minlength=n)
+
+
+def long_line(data: np.ndarray):
+    """:func:`counts` of one line, in parts of about CHUNK bytes cut between words."""
+    of_class, total, same, marked, letters = np.zeros((1, _CLASSES)), 0, np.zeros((1, 2)), 0, 0
+    at, before = 0, []
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and CLASS_OF_BYTE[data[end]] != 3:
+            dark = np.flatnonzero(CLASS_OF_BYTE[data[end : end + CHUNK]] == 3)
+            end = end + int(dark[0]) if len(dark) else min(end + CHUNK, len(data))
+        for piece in range(at, end, CHUNK):
+            of_class += np.bincount(CLASS_OF_BYTE[data[piece : min(piece + CHUNK, end)]], minlength=_CLASSES)
+        words = data[at:end].tobytes().lower().split()
+        found = before + [xxhash.xxh3_64_intdigest(w) for w in words]
+        for lag in (1, 2):
+            same[0, lag - 1] += sum(x == y for x, y in zip(found[max(lag, len(before)) :], found[max(lag, len(before)) - lag :]))
+        total, letters = total + len(words), letters + sum(map(len, words))
+        marked += sum(CLASS_OF_BYTE[w[-1]] >= 6 for w in words)
+        before, at = found[-2:], end
+    return of_class, np.array([total]), same, np.array([marked]), np.array([letters])
+
+
+def emission(parts: np.ndarray, doc: np.ndarray, constant: float) -> np.ndarray:
+    """Scores of ``good`` from each line's share for itself, for the line after it and for the line before it."""
+    out = parts[:, 0].astype(float) + constant
+    same = doc[1:] == doc[:-1]
+    out[1:] += parts[:-1, 1] * same
+    out[:-1] += parts[1:, 2] * same
     return out
 
 
-def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Own, previous and next line's features (zeros past a document's ends) and a constant."""
-    before, after = np.zeros_like(x), np.zeros_like(x)
-    same = (doc[1:] == doc[:-1])[:, None]
-    before[1:], after[:-1] = x[:-1] * same, x[1:] * same
-    return np.hstack([x, before, after, np.ones((len(x), 1), np.float32)])
-
-
 class Chain:
     """Lines of many documents by position, longest document first, for recursions over all documents at once."""
 
@@ -142,6 +210,74 @@ def _moves(chain, forward, backward, e, move, z) -> np.ndarray:
     return out
 
 
+def good(emit: np.ndarray, doc: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The marginal probability of ``good`` for each line, by log-odds run forward and backward."""
+    out = np.empty(len(emit))
+    of_line = np.bincount(doc)[doc] > LONG if len(doc) else np.zeros(0, bool)
+    for d in np.unique(doc[of_line]).tolist():
+        low, high = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
+        out[low:high] = good_in_blocks(emit[low:high], move)
+    at = np.flatnonzero(~of_line)
+    chain, e = Chain(doc[at]), emit[at]
+    ahead, back = np.zeros(len(at)), np.zeros(len(at))
+    steps = len(chain.active)
+    for t in range(steps):
+        here = chain.at(t)
+        ahead[here] = e[here] + (forth(ahead[here - 1], move) if t else move[0, 1] - move[0, 0])
+    for t in range(steps - 2, -1, -1):
+        there = chain.at(t + 1)
+        back[there - 1] = backwards(back[there] + e[there], move)
+    out[at] = sigmoid(ahead + back)
+    return out
+
+
+def forth(odds: np.ndarray, move: np.ndarray) -> np.ndarray:
+    return np.logaddexp(odds + move[2, 1], move[1, 1]) - np.logaddexp(odds + move[2, 0], move[1, 0])
+
+
+def backwards(odds: np.ndarray, move: np.ndarray) -> np.ndarray:
+    return np.logaddexp(odds + move[2, 1], move[2, 0]) - np.logaddexp(odds + move[1, 1], move[1, 0])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -x))
+
+
+def good_in_blocks(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """:func:`good` of one document: all blocks of lines advance together, between known log-odds at their ends."""
+    n, rest = len(emit), len(emit) - 1
+    width = max(1, int(rest**0.5))
+    blocks = -(-rest // width)
+    e = np.zeros((blocks, width))
+    e.ravel()[:rest] = emit[1:]
+    inside = np.arange(width) < np.minimum(width, rest - np.arange(blocks) * width)[:, None]
+    step = np.exp(move[1:] - move[1:].max())
+    through = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(width):
+        weight = np.exp(np.column_stack([np.minimum(0, -e[:, t]), np.minimum(0, e[:, t])]))
+        after = through @ step * weight[:, None, :]
+        through = np.where(inside[:, t, None, None], after / after.max(axis=(1, 2), keepdims=True), through)
+    with np.errstate(divide="ignore"):
+        log = np.log(through)
+    first = emit[0] + move[0, 1] - move[0, 0]
+    ahead, back = np.empty(blocks), np.zeros(blocks + 1)
+    odds = first
+    for b in range(blocks):
+        ahead[b] = odds
+        odds = np.logaddexp(log[b, 0, 1], log[b, 1, 1] + odds) - np.logaddexp(log[b, 0, 0], log[b, 1, 0] + odds)
+    for b in range(blocks - 1, -1, -1):
+        back[b] = np.logaddexp(log[b, 1, 0], log[b, 1, 1] + back[b + 1]) - np.logaddexp(log[b, 0, 0], log[b, 0, 1] + back[b + 1])
+    out = np.empty((blocks, width))
+    for t in range(width):
+        ahead = e[:, t] + forth(ahead, move)
+        out[:, t] = ahead
+    odds = back[1:]
+    for t in range(width - 1, -1, -1):
+        out[:, t] = np.where(inside[:, t], sigmoid(out[:, t] + odds), 0)
+        odds = np.where(inside[:, t], backwards(odds + e[:, t], move), odds)
+    return np.concatenate([[sigmoid(first + back[0])], out.ravel()[: n - 1]])
+
+
 class Model:
     def __init__(self, samples: list[tuple[str, int]]):
         self.ready = len({y for _, y in samples}) == 2
@@ -150,45 +286,52 @@ class Model:
             return
         parts, first = [], 0
         whole = pa.record_batch([pa.array([t for t, _ in samples], pa.large_string())], ["text"])
-        for part in kernels.slices(whole, "text", 1 << 20):
+        for part in kernels.slices(whole, "text", CHUNK):
             data, offsets = kernels.text_buffer(part.column("text"))
             start, end, doc = lines(data, offsets)
             parts.append((features(data, start, end, doc), doc + first, (end - start).astype(float)))
             first += part.num_rows
-        raw, doc, size = (np.concatenate(x) for x in zip(*parts))
-        self.mean, self.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-3
-        x = with_neighbours(self.standard(raw), doc)
+        x, doc, size = (np.concatenate(p) for p in zip(*parts))
+        del parts
+        self.mean, self.scale = x.mean(axis=0, dtype=float).astype(np.float32), (x.std(axis=0, dtype=float) + 1e-3).astype(np.float32)
+        x = self.standard(x)
         y = np.array([q for _, q in samples])
         self.fit(x, doc, y)
-        quality, has = self.raw_quality(x, doc, size, len(samples))
+        quality, has = self.raw_quality(emission(x @ self.weights, doc, self.constant), doc, size, len(samples))
         self.calibrate(quality[has], y[has])
 
     def standard(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip((raw - self.mean) / self.scale, -5, 5).astype(np.float32)
+        raw -= self.mean
+        raw /= self.scale
+        return np.clip(raw, -5, 5, out=raw)
 
     def fit(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the mean log-likelihood per line, with a ridge."""
+        """Adam on the mean log-likelihood per line, with a ridge. ``x`` is used for a line, its next and its previous one."""
         chain, label = Chain(doc), y[doc]
         truth = np.zeros((3, 2))
         firsts = np.zeros(len(doc), bool)
         firsts[chain.first] = True
         for s in (0, 1):
             truth[0, s], truth[1 + s, s] = (firsts & (label == s)).sum(), (~firsts & (label == s)).sum()
-        theta = np.zeros(x.shape[1] + 6)
+        k = 3 * N_FEATURES
+        theta = np.zeros(k + 7)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
+        same = doc[1:] == doc[:-1]
+        off = np.zeros((len(doc), 3), np.float32)
         for step in range(1, STEPS + 1):
-            w, move = theta[:-6], theta[-6:].reshape(3, 2)
-            log_p, moves, _ = marginals(chain, x @ w, move)
-            grad = np.concatenate([x.T @ (label - np.exp(log_p[:, 1])), (truth - moves).ravel()]) / len(doc) - 1e-3 * theta
+            w, move = theta[:k].reshape(3, N_FEATURES).T.astype(np.float32), theta[-6:].reshape(3, 2)
+            log_p, moves, _ = marginals(chain, emission(x @ w, doc, theta[k]), move)
+            off[:, 0] = label - np.exp(log_p[:, 1])
+            off[:-1, 1], off[1:, 2] = off[1:, 0] * same, off[:-1, 0] * same
+            grad = np.concatenate([(x.T @ off).T.ravel(), [off[:, 0].sum(dtype=float)], (truth - moves).ravel()]) / len(doc) - 1e-3 * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.weights, self.move = theta[:-6], theta[-6:].reshape(3, 2)
+        self.weights, self.constant, self.move = theta[:k].reshape(3, N_FEATURES).T.astype(np.float32), float(theta[k]), theta[-6:].reshape(3, 2)
 
-    def raw_quality(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def raw_quality(self, emit: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Length-weighted mean marginal of ``good`` as log-odds, and which documents have lines."""
-        good = np.exp(marginals(Chain(doc), x @ self.weights, self.move)[0][:, 1])
         weight = np.bincount(doc, size, minlength=n)
-        q = np.bincount(doc, good * size, minlength=n) / np.maximum(weight, 1)
+        q = np.bincount(doc, good(emit, doc, self.move) * size, minlength=n) / np.maximum(weight, 1)
         q = np.clip(q, 1e-6, 1 - 1e-6)
         return np.log(q / (1 - q)), weight > 0
 
@@ -215,8 +358,8 @@ class Model:
             return np.full(len(column), 0.5)
         start, end, doc = lines(data, offsets)
         if len(start):
-            x = with_neighbours(self.standard(features(data, start, end, doc)), doc)
-            quality, has = self.raw_quality(x, doc, (end - start).astype(float), len(column))
+            parts = np.concatenate([self.standard(x) @ self.weights for x in feature_chunks(data, start, end, doc)])
+            quality, has = self.raw_quality(emission(parts, doc, self.constant), doc, (end - start).astype(float), len(column))
             out[has] = 1 / (1 + np.exp(-(self.slope * quality[has] + self.shift)))
         return out
 
@@ -226,8 +369,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").limit(TRAIN_ROWS).collect()
-    return Model([(r.text, int(r.y)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text)) if r.text.count("\n") < MOST_LINES])
+    order = (F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", F.xxhash64("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").orderBy(*order).limit(TRAIN_ROWS).collect()
+    samples, left = [], TRAIN_LINES
+    for r in rows:
+        n = r.text.count("\n") + 1
+        if n <= MOST_LINES and n <= left:
+            samples.append((r.text, int(r.y)))
+            left -= n
+    return Model(samples)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -36,6 +36,64 @@ def test_marginals_equal_enumeration():
     assert np.allclose(log_z, [zs[d] for d in chain.ids])
 
 
+@pytest.mark.parametrize("n", [2, 3, 10, 50, 401])
+def test_blocks_of_lines_equal_the_chain(n):
+    rng = np.random.default_rng(n)
+    emit, move = rng.normal(scale=8, size=n + 5), rng.normal(size=(3, 2))
+    doc = np.concatenate([np.zeros(5, int), np.ones(n, int)])
+    exact = np.exp(quality.marginals(quality.Chain(doc), emit, move)[0][:, 1])
+    assert np.allclose(quality.good(emit, doc, move), exact)
+    assert np.allclose(quality.good_in_blocks(emit[5:], move), exact[5:])
+
+
+def brute_features(text):
+    """The documented features of each line, in plain Python."""
+    rows, found = [], [x for x in (text or "").encode().split(b"\n") if x]
+    for line in found:
+        words = line.split()
+        low = [w.lower() for w in words]
+        row = [0.0] * quality._CLASSES
+        for b in line:
+            row[quality.CLASS_OF_BYTE[b]] += 1 / len(line)
+        n = max(1, len(words))
+        row += [sum(low[i] == low[i - lag] for i in range(lag, len(low))) / n for lag in (1, 2)]
+        row += [sum(quality.CLASS_OF_BYTE[w[-1]] >= 6 for w in words) / n, math.log1p(len(line)), sum(map(len, words)) / n]
+        rows.append([*row, sum(x.lower() == line.lower() for x in found) > 1, math.log1p(len(found)), math.log1p(n)])
+    return found, rows
+
+
+def test_scores_equal_plain_python(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(50)
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = [r.text for r in docs.collect()] + ["a b a b\nA B A B\n\n c.\td! " + "word " * 80, "x" * 300 + " y y z z", "a\nb\n" * 40]
+
+    def score(text):
+        found, rows = brute_features(text)
+        if not found:
+            return model.share
+        z = [[min(5, max(-5, (x - m) / s)) for x, m, s in zip(r, model.mean.tolist(), model.scale.tolist())] for r in rows]
+        dot = lambda i, k: sum(x * w for x, w in zip(z[i], model.weights[:, k].tolist())) if 0 <= i < len(z) else 0
+        e = [dot(i, 0) + dot(i - 1, 1) + dot(i + 1, 2) + model.constant for i in range(len(z))]
+        add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        move = model.move.tolist()
+        ahead = [[move[0][0], move[0][1] + e[0]]]
+        for x in e[1:]:
+            ahead.append([add(ahead[-1][0] + move[1][s], ahead[-1][1] + move[2][s]) + s * x for s in (0, 1)])
+        back = [[0.0, 0.0]]
+        for x in e[:0:-1]:
+            back.insert(0, [add(move[1 + s][0] + back[0][0], move[1 + s][1] + x + back[0][1]) for s in (0, 1)])
+        p = [1 / (1 + math.exp(min(700, f[0] + b[0] - f[1] - b[1]))) for f, b in zip(ahead, back)]
+        q = min(1 - 1e-6, max(1e-6, sum(a * len(b) for a, b in zip(p, found)) / sum(map(len, found))))
+        return 1 / (1 + math.exp(-(model.slope * math.log(q / (1 - q)) + model.shift)))
+
+    column = pa.array(texts, pa.string())
+    expected = [score(t) for t in texts]
+    assert np.allclose(model.score(column), expected, atol=2e-3)
+    monkeypatch.setattr(quality, "CHUNK", 64)
+    monkeypatch.setattr(quality, "LONG", 5)
+    assert np.allclose(model.score(column), expected, atol=2e-3)
+
+
 def test_lines_never_cross_documents():
     data, offsets = kernels.text_buffer(pa.array(["ab\n\ncd", None, "ef", "\n\n", "\ng"]))
     start, end, doc = quality.lines(data, offsets)
