@@ -1,18 +1,22 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree. DataFrame functions only.
 
 Targets: every source gets its weight's share of all words, but at most CAP times its own; the excess is shared again by
-weight among the others (a water level, found in one pass over the sources ordered by CAP * size / weight).
+weight among the others until none is above (each round is one sum over the sources).
 
-Blocks: a source's documents fall into up to BLOCKS blocks by a seeded hash, so a hot source is many keys. A source's
-quota is whole passes over all its blocks plus a last pass that takes blocks in permuted order; the block at the quota is
-cut, and inside it the document at the quota, so that a source's words meet its target to a rounding.
+Blocks: a source's documents fall into blocks of about BLOCK_WORDS words by a seeded hash, so a hot source is many keys. A
+source's quota is whole passes over all its blocks plus a last pass that takes blocks in permuted order; the block at the
+quota is cut, and inside it the document at the quota, so that a source's words meet its target to a rounding.
 
-Tree: the number of block draws of each source is split among 2**LEVELS output shards. A node halves its total, and its
-children's draws per source follow the multivariate hypergeometric law: source by source, an urn gives each draw to the
-left child with probability (places left) / (draws left), with uniforms hashed from seed, node, source and draw. Shards
-then take disjoint runs of each source's permuted draws, and rows get a hashed position for a shuffle inside the shard.
+Tree: each time that a block is taken is one unit of its source's quota. The root has all units; a node sends exactly half
+of its units to its left child, those that come first in an order hashed from seed, node and unit. So a child's units per
+source follow the multivariate hypergeometric law, and the leaves, shards of about SHARD_WORDS words, hold disjoint
+permuted units of equal number. Which units come first is found from counts by buckets of the hash and an exact order in
+the one bucket of a node where the half is reached: no node and no source is ever in one task. Rows get a hashed position
+for a shuffle inside the shard.
 
-All randomness is hashed from a seed and the rows, so reruns and recomputed partitions agree.
+Orders over all sources or over a source's blocks are range-partitioned sorts with running sums by partition
+(:func:`running`), so there may be any number of sources and blocks. All randomness is hashed from a seed and the rows, so
+reruns and recomputed partitions agree.
 
 Defined results: null text has size 0; sizes of 0 are taken 0 times; null is a source of its own, last in order; empty
 tables give empty results; repeated rows are drawn like others (of equal rows any may be the cut one: they are equal).
@@ -20,6 +24,8 @@ tables give empty results; repeated rows are drawn like others (of equal rows an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,11 +34,17 @@ from riskloom.llm import scratch
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-BLOCKS = 1024
-LEVELS = 4
+BLOCK_WORDS = 1 << 16
+SHARD_WORDS = 1 << 22
+SLICES = 8
+#: Units in a bucket of a node's order that the number of buckets aims at, and the most buckets of a node.
+BUCKET, MOST_BUCKETS = 1 << 10, 1 << 20
 SEED = 20240611
+#: Rows of a table of sources, blocks or units that is broadcast; a larger one meets documents in a sorted join.
 BROADCAST_ROWS = 200_000
 
+_SOURCE = ["no_src", "src"]
+
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return."""
@@ -40,150 +52,155 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
-    """(row, size, source key, block, order) of each document."""
+    """(row, size, source key, hash, order) of each document."""
     return docs.select(
         F.struct(*keep).alias("row"), word_count(F.col("text")).alias("size"),
         F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")), F.lit(BLOCKS)).cast("int").alias("block"),
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("hash"),
         F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), F.col("text")).alias("order"),
     )
 
 
-def targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(src, no_src, source_size, weight, target) from (src, no_src, block, words)."""
-    sources = blocks.groupBy("no_src", "src").agg(F.sum("words").alias("source_size"))
-    by_name = W.orderBy("no_src", "src")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    weighed = sources.withColumn("weight", weight)
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    by_ratio = W.orderBy(F.col("source_size") * cap / F.col("weight"), "no_src", "src").rowsBetween(W.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(c).over(by_ratio), F.lit(0))
-    level = (F.sum("source_size").over(everything) - cap * before(F.col("source_size"))) / (F.sum("weight").over(everything) - before(F.col("weight")))
-    leveled = weighed.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= cap * F.col("source_size"))
-    lowest = F.min(F.when(F.col("fits"), F.struct((F.col("source_size") * cap / F.col("weight")).alias("r"), "no_src", "src", "level"))).over(everything)
-    return leveled.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.coalesce(lowest["level"], F.lit(0.0)) * F.col("weight"))).drop("level", "fits")
+def meet(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written table: broadcast, so that no row moves, if it has BROADCAST_ROWS rows at most."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge"), on, how)
+
+
+def running(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """``df`` with ``rank`` (from 0) and ``before`` (the values of the rows before) in the given order of all rows."""
+    placed = scratch.stage(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at", 33)
+    rows = placed.withColumns({"part": part, "inside": F.col("at") - F.shiftleft(part, 33), "value": value})
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    past = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    offsets = scratch.stage(parts.select("part", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n0"), F.coalesce(F.sum("v").over(past), F.lit(0)).alias("v0")), f"{name}-parts")
+    here = F.coalesce(F.sum("value").over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("here", here).join(F.broadcast(offsets), "part")
+    return out.withColumns({"rank": F.col("n0") + F.col("inside"), "before": F.col("v0") + F.col("here")}).drop("at", "part", "inside", "value", "n0", "v0", "here")
+
+
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(src, no_src, source_size, weight, target) from (src, no_src, source_size), one row a source."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    weighed = scratch.stage(running(sources, _SOURCE, F.lit(0), "mix-ranks").select(*_SOURCE, "source_size", weight.alias("weight")), "mix-weights")
+    total, rest, capped = None, None, -1
+    level = 0.0
+    while True:
+        over = F.lit(level) * F.col("weight") > cap * F.col("source_size")
+        got = weighed.agg(
+            F.sum("source_size"), F.sum(F.when(over, F.col("source_size")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.count_if(over)
+        ).first()
+        total, held, rest, now = got[0] or 0, got[1] or 0, got[2] or 0.0, got[3]
+        if now == capped or not rest:
+            break
+        level, capped = (total - cap * held) / rest, now
+    goal = F.least(cap * F.col("source_size").cast("double"), F.lit(level) * F.col("weight")) if rest or not total else cap * F.col("source_size").cast("double")
+    return weighed.withColumn("target", goal)
+
+
+def with_blocks(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """Documents with the number ``block`` of their block: a source has one for each BLOCK_WORDS words."""
+    sizes = target.select(*_SOURCE, F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long").alias("blocks"))
+    return meet(rows, sizes, _SOURCE).withColumn("block", F.pmod("hash", "blocks")).drop("blocks")
 
 
 def draws(blocks: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
-    """(src, no_src, block, pass, draw, cut): each time that a block is taken; ``cut`` is the words left at the quota, else null."""
-    quota = target.where("source_size > 0").select(
-        "src", "no_src", F.round("target").cast("long").alias("quota"), "source_size"
-    )
-    per = W.partitionBy("no_src", "src").orderBy(F.xxhash64(F.lit(seed + 2), "src", "block"), "block")
-    ranked = (
-        blocks.where("words > 0").join(quota, ["no_src", "src"])
-        .withColumn("rank", F.row_number().over(per) - 1)
-        .withColumn("before", F.sum("words").over(per) - F.col("words"))
-        .withColumn("in_source", F.count(F.lit(1)).over(W.partitionBy("no_src", "src")))
-        .withColumn("passes", F.floor(F.col("quota") / F.col("source_size")))
-        .withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
+    """(src, no_src, block, pass, cut): each time that a block is taken; ``cut`` is the words left at the quota, else null."""
+    usable = blocks.where("words > 0").withColumn("permuted", F.xxhash64(F.lit(seed + 2), *_SOURCE, "block"))
+    placed = scratch.stage(running(usable, [*_SOURCE, "permuted", "block"], F.col("words"), "mix-permuted"), "mix-running")
+    firsts = placed.groupBy(*_SOURCE).agg(F.min("before").alias("first"))
+    quota = F.round("target").cast("long")
+    of_source = scratch.stage(
+        firsts.join(target.where("source_size > 0").hint("merge"), _SOURCE).withColumn("passes", F.floor(quota / F.col("source_size")))
+        .select(*_SOURCE, "first", "passes", (quota - F.col("passes") * F.col("source_size")).alias("rest")),
+        "mix-quotas",
     )
+    ranked = meet(placed, of_source, _SOURCE).withColumn("before", F.col("before") - F.col("first"))
     taken = F.col("passes") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)
     each = ranked.where(taken > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), taken)))
     last = (F.col("pass") > F.col("passes")) & (F.col("before") + F.col("words") > F.col("rest"))
-    return each.select(
-        "src", "no_src", "block", "pass", ((F.col("pass") - 1) * F.col("in_source") + F.col("rank")).alias("draw"),
-        F.when(last, F.col("rest") - F.col("before")).alias("cut"),
-    )
+    return each.select(*_SOURCE, "block", "pass", F.when(last, F.col("rest") - F.col("before")).alias("cut"))
 
 
-def splitting_tree(drawn: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """(src, no_src, shard, first, past): each shard's run of a source's draws."""
-    counts = drawn.groupBy("no_src", "src").agg(F.count(F.lit(1)).alias("q"))
-    node = counts.agg(F.array_sort(F.collect_list(F.struct("no_src", "src", "q"))).alias("quotas")).withColumn("node", F.lit(1).cast("long"))
-    sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["q"])
-    for _ in range(levels):
-        total = sum_of(F.col("quotas"))
-
-        def one_source(state, source):
-            def one_draw(urn, i):
-                uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("node"), source["src"], source["no_src"], i), F.lit(1 << 40)) / F.lit(float(1 << 40))
-                hit = F.when(uniform * urn["draws"] < urn["places"], F.lit(1)).otherwise(F.lit(0)).cast("long")
-                return F.struct((urn["draws"] - 1).alias("draws"), (urn["places"] - hit).alias("places"), (urn["left"] + hit).alias("left"))
-
-            urn = F.aggregate(
-                F.sequence(F.lit(1).cast("long"), source["q"]),
-                F.struct(state["draws"].alias("draws"), state["places"].alias("places"), F.lit(0).cast("long").alias("left")),
-                one_draw,
-            )
-            return F.struct(
-                urn["draws"].alias("draws"), urn["places"].alias("places"), F.concat(state["left"], F.array(urn["left"])).alias("left")
-            )
-
-        start = F.struct(total.alias("draws"), F.floor(total / 2).alias("places"), F.array().cast("array<long>").alias("left"))
-        left = F.aggregate(F.col("quotas"), start, one_source, lambda s: s["left"])
-        split = node.withColumn("left", left)
-        side = lambda take: F.filter(F.transform("quotas", lambda x, i: F.struct(x["no_src"].alias("no_src"), x["src"].alias("src"), take(x["q"], F.get("left", i)).alias("q"))), lambda x: x["q"] > 0)
-        pair = F.array(
-            F.struct((F.col("node") * 2).alias("node"), side(lambda q, x: x).alias("quotas")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), side(lambda q, x: q - x).alias("quotas")),
-        )
-        node = split.select(F.explode(pair).alias("child")).select("child.*")
-        node = node.repartition("node") if levels > 8 else node
-    leaves = node.select((F.col("node") - (1 << levels)).alias("shard"), F.explode("quotas").alias("s")).select("shard", "s.*")
-    runs = W.partitionBy("no_src", "src").orderBy("shard")
-    return leaves.withColumn("past", F.sum("q").over(runs)).withColumn("first", F.col("past") - F.col("q")).drop("q")
-
-
-def assigned(blocks: DataFrame, target: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """Every draw with the shard that takes it."""
-    drawn = scratch.stage(draws(blocks, target, seed), "mix-draws")
-    runs = scratch.stage(splitting_tree(drawn, levels, seed), "mix-tree")
-    return drawn.join(runs, ["no_src", "src"]).where("draw >= first and draw < past").drop("first", "past")
-
-
-def prepare(docs: DataFrame, keep: list[str], levels: int = LEVELS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sized documents, targets by source, assigned draws)."""
+def splitting_tree(units: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
+    """``units`` with the number ``shard`` of the leaf that holds each; (src, no_src, block, pass) name a unit.
+
+    A node of n units has exactly n // 2 of them in its left child.
+    """
+    count = units.count()
+    node = units.withColumn("node", F.lit(1).cast("long"))
+    unit = [*_SOURCE, "block", "pass"]
+    for level in range(levels):
+        buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, count / BUCKET))) - level))
+        hashed = node.withColumn("hash", F.xxhash64(F.lit(seed), "node", *unit)).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+        counts = hashed.groupBy("node", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        upto = W.partitionBy("node").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+        half = F.floor(F.sum("n").over(W.partitionBy("node")) / 2)
+        sums = counts.withColumns({"upto": F.sum("n").over(upto), "half": half})
+        reached = sums.where("upto > half and upto - n <= half").select("node", F.col("bucket").alias("edge"), (F.col("half") - F.col("upto") + F.col("n")).alias("lefts"))
+        joined = meet(hashed, scratch.stage(reached, "mix-halves"), ["node"])
+        clear = joined.where("bucket <> edge").withColumn("right", (F.col("bucket") > F.col("edge")).cast("long"))
+        at_edge = joined.where("bucket = edge").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("hash", *unit)))
+        sides = clear.unionByName(at_edge.withColumn("right", (F.col("place") > F.col("lefts")).cast("long")).drop("place"))
+        node = scratch.stage(sides.withColumn("node", F.col("node") * 2 + F.col("right")).drop("hash", "bucket", "edge", "lefts", "right"), "mix-nodes")
+    return node.withColumn("shard", F.col("node") - (1 << levels)).drop("node")
+
+
+def prepare(docs: DataFrame, keep: list[str], levels: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sized documents with blocks, targets by source, units with their shards), from written tables."""
     rows = scratch.stage(sized(docs, keep, seed), "mix-rows")
-    blocks = scratch.stage(rows.groupBy("no_src", "src", "block").agg(F.sum("size").alias("words")), "mix-blocks")
-    target = scratch.stage(targets(blocks), "mix-targets")
-    return rows, target, scratch.stage(assigned(blocks, target, levels, seed), "mix-assigned")
+    sources = rows.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size"))
+    target = scratch.stage(targets(sources), "mix-targets")
+    blocked = with_blocks(rows, target)
+    blocks = scratch.stage(blocked.groupBy(*_SOURCE, "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    if levels is None:
+        words = target.agg(F.sum("target")).first()[0] or 0
+        levels = max(0, math.ceil(math.log2(max(1, words / SHARD_WORDS))))
+    return blocked, target, scratch.stage(splitting_tree(scratch.stage(draws(blocks, target, seed), "mix-draws"), levels, seed), "mix-units")
 
 
-def met(rows: DataFrame, draw: DataFrame) -> DataFrame:
-    """Documents with the draws of their blocks. The draws are broadcast if they are BROADCAST_ROWS at most, so that no
-    text moves for them; more draws (very many sources) meet the documents in a sorted join by source and block."""
-    few = draw.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(draw) if few else draw.hint("merge"), ["no_src", "src", "block"])
+def in_cut_blocks(rows: DataFrame) -> Column:
+    """Words that the cut leaves of each document of rows of cut blocks, in the block's hashed order."""
+    inside = W.partitionBy(*_SOURCE, "block").orderBy("order", "size").rowsBetween(W.unboundedPreceding, 0)
+    return F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut") - F.sum("size").over(inside) + F.col("size"))).cast("long")
 
 
-def with_words(rows: DataFrame, draw: DataFrame) -> DataFrame:
-    """Each document once per draw of its block, with the words that the draw takes of it (cut draws included)."""
-    whole = draw.where("cut is null").drop("cut")
-    cut = draw.where("cut is not null")
-    inside = W.partitionBy("no_src", "src", "block").orderBy("order", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = met(rows, cut).withColumn("before", F.sum("size").over(inside) - F.col("size"))
-    took = F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut") - F.col("before"))).cast("long")
-    return met(rows, whole).withColumn("words", F.col("size")).unionByName(last.withColumn("words", took).drop("before", "cut"))
+def with_words(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Each document once per unit of its block, with the words that the unit takes of it (cut ones included)."""
+    block = [*_SOURCE, "block"]
+    whole = meet(rows, units.where("cut is null").drop("cut"), block).withColumn("words", F.col("size"))
+    cut = meet(rows, units.where("cut is not null"), block)
+    return whole.unionByName(cut.withColumn("words", in_cut_blocks(cut)).drop("cut"))
 
 
-def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix: columns of ``docs`` (once per draw) and ``mix_shard, mix_position, mix_words``, shuffled inside each shard.
 
-    Texts are shuffled once, to their shards. Documents that a draw takes no word of are left out. A cut document keeps
-    its whole text; ``mix_words`` says how much of it the mix takes. Result columns that ``docs`` has already get a
-    trailing underscore.
+    Texts are shuffled once, to their shards, in SLICES runs of a shard's positions. Documents that a draw takes no word of
+    are left out. A cut document keeps its whole text; ``mix_words`` says how much of it the mix takes. Result columns that
+    ``docs`` has already get a trailing underscore.
     """
     named = docs.select(F.struct(*docs.columns).alias("doc"), *[F.col(c) for c in ("doc_id", "text", "source")])
-    _, _, draw = prepare(named, ["doc_id"], levels, seed)
-    took = with_words(sized(named, ["doc"], seed), draw).where("words > 0")
+    _, target, units = prepare(named, ["doc_id"], levels, seed)
+    took = with_words(with_blocks(sized(named, ["doc"], seed), target), units).where("words > 0")
     free = lambda c: c + "_" if c in docs.columns else c
     position = F.xxhash64(F.lit(seed + 3), "shard", "pass", "order")
     out = took.select("row.doc.*", F.col("shard").alias(free("mix_shard")), position.alias(free("mix_position")), F.col("words").alias(free("mix_words")))
-    return out.repartition(F.col(free("mix_shard")), F.pmod(free("mix_position"), F.lit(64))).sortWithinPartitions(free("mix_shard"), free("mix_position"))
+    slices = F.floor((F.shiftright(free("mix_position"), 32) + (1 << 31)) * SLICES / (1 << 32))
+    return out.repartition(F.col(free("mix_shard")), slices).sortWithinPartitions(free("mix_shard"), free("mix_position"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the shards take of each document; ``n_shards`` of them, from ``first_shard`` on (null: none)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows, target, draw = prepare(docs, ["doc_id"])
-    per_block = draw.groupBy("no_src", "src", "block").agg(F.count_if(F.col("cut").isNull()).alias("copies"), F.count_if(F.col("cut").isNotNull()).alias("cuts"))
-    whole = rows.join(per_block, ["no_src", "src", "block"], "left")
-    uncut = whole.where("coalesce(cuts, 0) = 0").withColumn("taken", F.coalesce(F.col("size") * F.col("copies"), F.lit(0)).cast("long")).drop("copies", "cuts")
-    cut_words = draw.where("cut is not null").select("no_src", "src", "block", "cut")
-    inside = W.partitionBy("no_src", "src", "block").orderBy("order", "size").rowsBetween(W.unboundedPreceding, 0)
-    cut = (
-        whole.where("cuts > 0").join(cut_words, ["no_src", "src", "block"]).withColumn("before", F.sum("size").over(inside) - F.col("size"))
-        .withColumn("taken", (F.col("size") * F.col("copies") + F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut") - F.col("before")))).cast("long"))
-        .drop("copies", "cuts", "cut", "before")
-    )
-    return uncut.unionByName(cut).join(target, ["no_src", "src"]).select("row.doc_id", "size", "source_size", "target", "taken")
+    rows, target, units = prepare(docs, ["doc_id"])
+    block = [*_SOURCE, "block"]
+    of_shard = units.groupBy(*block, "shard").agg(F.count_if(F.col("cut").isNull()).alias("copies"), F.max("cut").alias("cut"))
+    per_block = of_shard.groupBy(*block).agg(F.sum("copies").alias("copies"), F.max("cut").alias("cut"), F.count(F.lit(1)).alias("n_shards"), F.min("shard").alias("first_shard"))
+    found = meet(rows, scratch.stage(per_block, "mix-per-block"), block, "left")
+    copies = F.col("size") * F.coalesce("copies", F.lit(0))
+    uncut = found.where("cut is null").withColumn("taken", copies.cast("long"))
+    cut = found.where("cut is not null")
+    taken = uncut.unionByName(cut.withColumn("taken", copies + in_cut_blocks(cut)))
+    out = meet(taken, target, _SOURCE)
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"), "first_shard")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -42,7 +43,7 @@ def docs(spark):
 
 
 def test_targets_and_words(spark, docs):
-    rows, target, draw = mixing.prepare(docs, ["doc_id"])
+    rows, target, units = mixing.prepare(docs, ["doc_id"])
     sizes = defaultdict(int)
     for r in docs.collect():
         sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
@@ -51,33 +52,68 @@ def test_targets_and_words(spark, docs):
     assert got.keys() == expected.keys()
     assert all(abs(got[s] - expected[s]) < 1e-6 for s in got)
     taken = defaultdict(int)
-    for r in mixing.with_words(rows, draw).groupBy("no_src", "src").agg(F.sum("words").alias("w")).collect():
+    for r in mixing.with_words(rows, units).groupBy("no_src", "src").agg(F.sum("words").alias("w")).collect():
         taken[None if r.no_src else r.src] = r.w
     assert all(abs(taken[s] - expected[s]) <= 1 for s in expected)
 
 
-def test_tree_shares_draws_evenly_and_disjointly(spark, docs):
-    _, _, draw = mixing.prepare(docs, ["doc_id"])
-    rows = draw.collect()
-    assert len({(r.src, r.no_src, r.draw) for r in rows}) == len(rows)
+@pytest.fixture
+def small(monkeypatch):
+    """Blocks and shards small enough that a few hundred documents make many of them."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+
+
+def test_tree_shares_units_evenly_and_disjointly(spark, docs, small):
+    _, target, units = mixing.prepare(docs, ["doc_id"])
+    rows = units.collect()
+    assert len({(r.src, r.no_src, r.block, r["pass"]) for r in rows}) == len(rows) > 200
     shards = Counter(r.shard for r in rows)
-    assert set(shards) <= set(range(16)) and max(shards.values()) - min(shards.values()) <= 4
+    words = target.agg(F.sum("target")).first()[0]
+    assert set(shards) == set(range(2 ** math.ceil(math.log2(words / 2000)))) and max(shards.values()) - min(shards.values()) <= 1
     again = mixing.prepare(docs, ["doc_id"])[2]
-    assert again.exceptAll(draw).isEmpty() and draw.exceptAll(again).isEmpty()
+    assert again.exceptAll(units).isEmpty() and units.exceptAll(again).isEmpty()
 
 
 def test_splits_follow_the_hypergeometric_law(spark):
-    drawn = spark.createDataFrame([("a", False)] * 12 + [("b", False)] * 28, "src string, no_src boolean")
+    units = spark.createDataFrame([(s, False, i, 1) for s, n in (("a", 12), ("b", 28)) for i in range(n)], "src string, no_src boolean, block long, pass long").cache()
     lefts = []
-    for seed in range(60):
-        runs = {(r.src, r.shard): r.past - r.first for r in mixing.splitting_tree(drawn, 1, seed).collect()}
-        assert sum(n for (_, shard), n in runs.items() if shard == 0) == 20
-        lefts.append(runs.get(("a", 0), 0))
+    for seed in range(40):
+        left = mixing.splitting_tree(units, 1, seed).where("shard = 0").collect()
+        assert len(left) == 20
+        lefts.append(sum(r.src == "a" for r in left))
     mean = sum(lefts) / len(lefts)
-    assert abs(mean - 6) < 0.7  # 12 * 20 / 40, standard error 0.19
+    assert abs(mean - 6) < 0.8  # 12 * 20 / 40, standard error 0.23
     assert 0.6 < sum((x - mean) ** 2 for x in lefts) / len(lefts) < 5  # 12 * .3 * .7 * ... = 2.15
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_query_takes_what_the_shards_take(spark, docs, small, monkeypatch, tmp_path, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    docs.drop("size", "block").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    again = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    expected = sorted((str(r.doc_id), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect())
+    assert sorted((str(r.doc_id), r.size) for r in got) == expected
+    assert all(0 <= r.taken <= 3 * r.size and (r.taken > 0) <= (r.n_shards > 0) and (r.n_shards > 0) == (r.first_shard is not None) for r in got)
+    by_target = defaultdict(int)
+    for r in got:
+        by_target[r.source_size, r.target] += r.taken
+    assert all(abs(taken - target) <= 1 for (_, target), taken in by_target.items())
+    assert max(r.n_shards for r in got) > 1 and len({r.first_shard for r in got}) > 8
+
+
+def test_many_sources(spark):
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.expr("repeat('x ', cast(id % 7 as int))")).alias("text"), F.format_string("s%06d", F.col("id") % 20_000).alias("source"))
+    _, target, units = mixing.prepare(many, ["doc_id"])
+    sizes = {r.src: r.source_size for r in target.collect()}
+    expected = water_filled(sizes)
+    assert len(sizes) == 20_000 and all(abs(r.target - expected[r.src]) < 1e-6 for r in target.collect())
+    assert units.select("src").distinct().count() <= 20_000
+
+
 def test_mix_returns_documents_and_handles_clashes(spark, docs):
     out = mixing.mix(docs.withColumn("mix_shard", F.lit("x")))
     assert out.columns[: len(docs.columns)] == docs.columns and "mix_shard_" in out.columns
