@@ -41,6 +41,7 @@ from riskloom.llm import scratch
 
 SHORTEST = 0
 FILE_BYTES = 8 << 20
+TASK_BYTES = 512 << 20
 LEVEL = 1
 #: Bytes given to a decompressor at once, so that what follows a member is not copied again and again.
 FED = 1 << 14
@@ -265,12 +266,18 @@ def open_files(files: DataFrame) -> DataFrame:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Rows of files over as many tasks as there are files (a number of its own, which adaptive execution leaves alone)."""
-    return files.repartition(max(1, files.count()), "path")
+    """Rows of files, each of about FILE_BYTES, over tasks of about TASK_BYTES (over all cores at least); the number is its
+    own, which adaptive execution leaves alone. A task goes through its files one by one."""
+    n = files.count()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism * 4, -(-n * FILE_BYTES // TASK_BYTES))
+    return files.repartition(max(1, min(n, tasks)), "path")
 
 
 def arc_digests(files: DataFrame) -> DataFrame:
-    """(path, number, page_id, digest, size) of each record of (path) rows of ARC files in the shared folder."""
+    """(path, number, page_id, digest, size) of each record of (path) rows of ARC files in the shared folder.
+
+    ``digest`` is the SHA-1 and the SHA-256 of the payload together: equal payloads are those equal in both and in size.
+    """
 
     def run(batches):
         for batch in batches:
@@ -279,7 +286,7 @@ def arc_digests(files: DataFrame) -> DataFrame:
                 for number, _, block in parse_arc(load(path)):
                     _, http, payload = split_http(block)
                     page = http.get("x-page-id")
-                    rows.append((path, number, None if page is None else int(page), hashlib.sha1(payload).digest(), len(payload)))
+                    rows.append((path, number, None if page is None else int(page), hashlib.sha1(payload).digest() + hashlib.sha256(payload).digest(), len(payload)))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "number", "page_id", "digest", "size"])
 
@@ -290,10 +297,10 @@ def decide(records: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(path, revisits): record numbers of each file that revisit, with the page they refer to."""
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "number")
     firsts = (
-        records.where(F.col("size") >= shortest).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        records.where(F.col("size") >= shortest).groupBy("digest", "size").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    firsts = scratch.stage(firsts.select("digest", "first"), "warc-firsts")
-    again = records.join(firsts.hint("merge"), "digest").where(~((F.col("path") == F.col("first.path")) & (F.col("number") == F.col("first.number"))))
+    firsts = scratch.stage(firsts.select("digest", "size", "first"), "warc-firsts")
+    again = records.join(firsts.hint("merge"), ["digest", "size"]).where(~((F.col("path") == F.col("first.path")) & (F.col("number") == F.col("first.number"))))
     return again.groupBy("path").agg(F.collect_list(F.struct("number", F.col("first.page_id").alias("page"))).alias("revisits"))
 
 

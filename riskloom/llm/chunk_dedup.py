@@ -33,6 +33,7 @@ BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
 MIN_RUN = 100
+SEGMENT = 1 << 22
 GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 RESULT = "doc_id long, n_bytes long, n_chunks long, n_duplicate_chunks long, duplicate_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -47,9 +48,19 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h << np.uint32(32 - WINDOW)
 
 
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Ends of bytes whose hash has its top bits zero, found over SEGMENT bytes at a time."""
+    out = []
+    for at in range(0, len(data), SEGMENT):
+        before = max(0, at - WINDOW + 1)
+        ends = np.flatnonzero(gear(data[before : at + SEGMENT]) >> np.uint32(32 - BITS) == 0) + before + 1
+        out.append(ends[ends > at])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of each chunk."""
-    ends = np.flatnonzero(gear(data) >> np.uint32(32 - BITS) == 0) + 1
+    ends = boundaries(data)
     doc = np.searchsorted(offsets[1:], ends - 1, "right")
     own = ends - offsets[doc] >= WINDOW
     ends, doc = ends[own], doc[own]

@@ -5,9 +5,11 @@ window of a benchmark item and of a document keeps its minimum k-gram hash; equa
 the kept fingerprints loses no shared window. Hits are extended to whole windows, compared by 64-bit hash and then byte
 by byte. Items of at least 13 words have windows of 13; a shorter item is one window of its own length.
 
-The benchmark is a stated query set. It is taken in blocks of at most ``BLOCK_WORDS`` words; one block's index is what
-is broadcast, and each block makes one pass over the documents. No document is shuffled with one block; with several,
-only the hits are.
+A benchmark of at most BLOCK_WORDS words is indexed once and its index, about 50 bytes a word, is broadcast: one pass over
+the documents, none of which is shuffled. A larger one stays a table of windows. The tasks that read the documents then
+send the distinct fingerprints of their file, those that a bitmap of BITMAP_BITS bits lets through, with the hash of the
+window around each; a join with the table (plain exchanges, which adaptive execution can split) gives each file the windows
+that occur in it, and a second pass over the documents looks them up beside the file, by the same code.
 
 Defined results: null or wordless texts have n_words 0 and no hits; items without words never match; repeated items
 count once by item_id; an item_id that is null marks words but is not listed; repeated document rows each get a row;
@@ -28,35 +30,55 @@ from riskloom.llm import kernels, scratch
 WINDOW = 13
 GRAM = 7
 BLOCK_WORDS = 1_000_000
-BITMAP_BITS = 20
+BITMAP_BITS = 22
+#: Words of documents whose windows are looked up at once.
+STEP = 1 << 19
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_TOP = np.uint64(64 - BITMAP_BITS)
 
 
 class Index:
-    """Fingerprints and windows of one block of benchmark items, by window length."""
-
-    def __init__(self, items: list[tuple[object, str | None]]):
-        column = pa.array([text for _, text in items], pa.large_string())
-        data, offsets = kernels.text_buffer(column)
-        start, end, owner = kernels.tokens(data, offsets, "word")
-        words = kernels.span_hash(data, start, end) if len(start) else np.zeros(0, np.uint64)
-        counts = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, int)
-        lowered = kernels.ascii_lower()[data].tobytes() if len(data) else b""
-        names = [None if i is None else str(i) for i, _ in items]
-        self.lengths: dict[int, tuple[np.ndarray, dict[int, dict[bytes, set[str]]]]] = {}
-        first = np.concatenate([[0], np.cumsum(counts)])
-        for item, count in enumerate(counts):
-            if not count:
-                continue
-            n = min(WINDOW, int(count))
-            bits, table = self.lengths.setdefault(n, (np.zeros(1 << BITMAP_BITS, bool), {}))
-            own = words[first[item] : first[item + 1]]
-            bits[kept_fingerprints(own, n) >> np.uint64(64 - BITMAP_BITS)] = True
-            for at, key in enumerate(kernels.gram_hash(own, n).tolist(), first[item]):
-                content = b" ".join(lowered[s:e] for s, e in zip(start[at : at + n], end[at : at + n]))
-                table.setdefault(key, {}).setdefault(content, set()).update([names[item]] if names[item] is not None else [])
-        self.keys = {n: np.array(sorted(table), np.uint64) for n, (_, table) in self.lengths.items()}
+    """The windows of texts by length: sorted hashes, and where each stands in the texts. ``items`` has (names, text) pairs."""
+
+    def __init__(self, items: list[tuple[frozenset[str], str | None]]):
+        data, offsets = kernels.text_buffer(pa.array([text for _, text in items], pa.large_string()))
+        self.start, self.end, owner = kernels.tokens(data, offsets, "word")
+        self.lower = kernels.ascii_lower()[data]
+        self.names = [names for names, _ in items]
+        words = kernels.span_hash(data, self.start, self.end)
+        count = np.bincount(owner, minlength=len(items))
+        #: By window length: bitmap of fingerprints, sorted window hashes, first word and item of each.
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(WINDOW, count[count > 0])).tolist():
+            at = np.flatnonzero(np.minimum(WINDOW, count)[owner] == n)
+            last = at + n - 1
+            at = at[(last < len(owner)) & (owner[np.minimum(last, len(owner) - 1)] == owner[at])]
+            whole = window_hash(words, at, n)
+            bits = np.zeros(1 << BITMAP_BITS, bool)
+            bits[kept_fingerprints(words, n)[at] >> _TOP] = True
+            order = np.argsort(whole, kind="stable")
+            self.lengths[n] = (bits, whole[order], at[order].astype(np.int32), owner[at[order]].astype(np.int32))
+
+    def content(self, at: int, n: int) -> bytes:
+        return b" ".join(self.lower[s:e].tobytes() for s, e in zip(self.start[at : at + n], self.end[at : at + n]))
+
+    def find(self, n: int, key: np.uint64, content: bytes) -> set[str] | None:
+        """Names of the items that have the window, or None if none has."""
+        _, keys, at, owner = self.lengths[n]
+        same: set[str] | None = None
+        for k in range(int(np.searchsorted(keys, key)), int(np.searchsorted(keys, key, "right"))):
+            if self.content(int(at[k]), n) == content:
+                same = (same or set()) | self.names[owner[k]]
+        return same
+
+
+def window_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each place on."""
+    whole = np.zeros(len(at), np.uint64)
+    for j, factor in enumerate(kernels.gram_factors(n)):
+        whole += words[at + j] * factor
+    return kernels.mix(whole)
 
 
 def kept_fingerprints(words: np.ndarray, n: int) -> np.ndarray:
@@ -66,53 +88,98 @@ def kept_fingerprints(words: np.ndarray, n: int) -> np.ndarray:
     return kernels.sliding_min(grams, n - k + 1) if len(grams) >= n - k + 1 else grams[:0]
 
 
+def candidates(bits_of: dict[int, np.ndarray], data: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
+    """(n, first words, kept fingerprints, window hashes) of windows inside a document whose fingerprint the bitmap has."""
+    longest = max(bits_of, default=1)
+    for a in range(0, len(start), STEP):
+        b = min(a + STEP + longest - 1, len(start))
+        words = kernels.span_hash(data, start[a:b], end[a:b])
+        for n, bits in bits_of.items():
+            kept = kept_fingerprints(words, n)[:STEP]
+            at = np.flatnonzero(bits[kept >> _TOP])
+            at = at[owner[a + at] == owner[a + at + n - 1]]
+            if len(at):
+                yield n, a + at, kept[at], window_hash(words, at, n)
+
+
 def find_hits(index: Index, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """(document of each word, hit flag of each word, words per document, items per document)."""
     data, offsets = kernels.text_buffer(column)
     start, end, owner = kernels.tokens(data, offsets, "word")
     hit = np.zeros(len(start), bool)
     items: list[set[str]] = [set() for _ in range(len(column))]
-    n_words = np.bincount(owner, minlength=len(column))
-    if not len(start):
-        return owner, hit, n_words, items
-    words = kernels.span_hash(data, start, end)
     lower = kernels.ascii_lower()
-    for n, (bits, table) in index.lengths.items():
-        if len(words) < n:
-            continue
-        kept = kept_fingerprints(words, n)
-        at = np.flatnonzero(bits[kept >> np.uint64(64 - BITMAP_BITS)])
-        at = at[owner[at] == owner[at + n - 1]]
-        if not len(at):
-            continue
-        whole = np.zeros(len(at), np.uint64)
-        for j, factor in enumerate(kernels.gram_factors(n)):
-            whole += words[at + j] * factor
-        whole, keys = kernels.mix(whole), index.keys[n]
-        near = np.searchsorted(keys, whole)
-        found = keys[np.minimum(near, len(keys) - 1)] == whole
-        for p, key in zip(at[found].tolist(), whole[found].tolist()):
+    for n, at, _, whole in candidates({n: x[0] for n, x in index.lengths.items()}, data, start, end, owner):
+        keys = index.lengths[n][1]
+        found = keys[np.minimum(np.searchsorted(keys, whole), len(keys) - 1)] == whole
+        known: dict[bytes, set[str] | None] = {}
+        for p, key in zip(at[found].tolist(), whole[found]):
             content = b" ".join(lower[data[s:e]].tobytes() for s, e in zip(start[p : p + n], end[p : p + n]))
-            if (names := table[key].get(content)) is not None:
+            if content not in known:
+                known[content] = index.find(n, key, content)
+            if (names := known[content]) is not None:
                 hit[p : p + n] = True
                 items[owner[p]] |= names
-    return owner, hit, n_words, items
-
-
-def _finish(n_words: int, n_hit: int, items: set[str]) -> tuple:
-    return n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
-
-
-def _blocks(benchmark: DataFrame):
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += 1 + len(row[1] or "") // 2
-        if size >= BLOCK_WORDS:
-            yield Index(block)
-            block, size = [], 0
-    if block or size == 0:
-        yield Index(block)
+    return owner, hit, np.bincount(owner, minlength=len(column)), items
+
+
+def judged(index: Index, batch: pa.RecordBatch) -> pa.StructArray:
+    """The RESULT of each text of a batch."""
+    owner, hit, n_words, items = find_hits(index, batch.column("text"))
+    n_hit = np.bincount(owner[hit], minlength=batch.num_rows)
+    sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n_words))]
+    return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(n, fp, whole, content, item) of every window of every item, written."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kernels.slices(whole, "text"):
+                index = Index([(frozenset() if i is None else frozenset([i]), t) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())])
+                words = kernels.span_hash(index.lower, index.start, index.end)
+                for n, (_, keys, at, owner) in index.lengths.items():
+                    fp = kept_fingerprints(words, n)[at]
+                    texts = [index.content(p, n) for p in at.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([next(iter(index.names[o]), None) for o in owner.tolist()], pa.string())],
+                        ["n", "fp", "whole", "content", "item"],
+                    )
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
+    return scratch.stage(items.mapInArrow(run, "n int, fp long, whole long, content string, item string").distinct(), "benchmark-windows")
+
+
+def bitmaps(table: DataFrame) -> dict[int, np.ndarray]:
+    """A bitmap of fingerprints for each window length: WINDOW bitmaps of 2**BITMAP_BITS bits at most."""
+    top = F.shiftrightunsigned("fp", 64 - BITMAP_BITS)
+    out = {}
+    for n in [r.n for r in table.select("n").distinct().collect()]:
+        found = table.where(F.col("n") == n).select(top.cast("int").alias("b")).distinct().toArrow()
+        out[n] = np.zeros(1 << BITMAP_BITS, bool)
+        out[n][found.column("b").to_numpy()] = True
+    return out
+
+
+def beside_files(texts: DataFrame, table: DataFrame) -> str:
+    """The windows of ``table`` that occur in each file of a numbered table, written beside the files."""
+    shared = texts.sparkSession.sparkContext.broadcast({n: np.packbits(x) for n, x in bitmaps(table).items()})
+
+    def run(batches):
+        bits_of = {n: np.unpackbits(x).astype(bool) for n, x in shared.value.items()}
+        for file_no, batch in scratch.text_slices(batches, kernels.SLICE_BYTES):
+            data, offsets = kernels.text_buffer(batch.column("text"))
+            start, end, owner = kernels.tokens(data, offsets, "word")
+            for n, _, fp, whole in candidates(bits_of, data, start, end, owner):
+                both = np.unique(np.column_stack([fp, whole]), axis=0).view(np.int64)
+                numbers = [pa.array(np.full(len(both), x, np.int32)) for x in (file_no, n)]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(both[:, 0]), pa.array(both[:, 1])], ["file_no", "n", "fp", "whole"])
+
+    found = texts.select("uid", "file_no", "text").mapInArrow(run, "file_no int, n int, fp long, whole long").distinct()
+    joined = found.join(table.hint("merge"), ["n", "fp", "whole"]).select("file_no", F.lit(0).cast("long").alias("uid"), "content", "item")
+    return scratch.beside(joined, "benchmark-beside")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
@@ -121,53 +188,36 @@ def flag(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     ``docs`` needs a string column ``text``; ``keep`` may contain it.
     """
     spark = docs.sparkSession
-    schema = docs.select(F.struct(*keep).alias("row")).schema["row"].dataType
     plain = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
-    indexes = [spark.sparkContext.broadcast(x) for x in _blocks(benchmark)]
-    if len(indexes) == 1:
-        shared = indexes[0]
+    result = f"row {plain.schema['row'].dataType.simpleString()}, found struct<{RESULT.replace(' ', ':').replace(',:', ',')}>"
+    columns = [*[F.col("row")[c].alias(c) for c in keep], "found.*"]
+    most_words = benchmark.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    if most_words <= BLOCK_WORDS:
+        items = [(frozenset() if r[0] is None else frozenset([r[0]]), r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]
+        shared = spark.sparkContext.broadcast(Index(items))
 
         def run(batches):
             for whole in batches:
                 for batch in kernels.slices(whole, "text"):
-                    owner, hit, n_words, items = find_hits(shared.value, batch.column("text"))
-                    n_hit = np.bincount(owner[hit], minlength=batch.num_rows)
-                    rows = [_finish(*x) for x in zip(n_words.tolist(), n_hit.tolist(), items)]
-                    columns = list(zip(*rows)) if rows else [[]] * 5
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                    found = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                    yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "found"])
+                    yield pa.RecordBatch.from_arrays([batch.column("row"), judged(shared.value, batch)], ["row", "found"])
 
-        done = plain.mapInArrow(run, f"row {schema.simpleString()}, found struct<{RESULT.replace(' ', ':').replace(',:', ',')}>")
-        return done.select(*[F.col("row")[c].alias(c) for c in keep], "found.*")
+        return plain.mapInArrow(run, result).select(*columns)
 
-    base = scratch.numbered(plain, "decontaminate")
+    texts = scratch.numbered(plain, "decontaminate")
+    path = beside_files(texts, windows(benchmark))
 
-    def scan(shared):
-        def run(batches):
-            for whole in batches:
-                for batch in kernels.slices(whole, "text"):
-                    owner, hit, n_words, items = find_hits(shared.value, batch.column("text"))
-                    first = np.concatenate([[0], np.cumsum(n_words)])
-                    where = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(first[:-1], first[1:])]
-                    yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(n_words, pa.int64()), pa.array(where, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["uid", "n_words", "hits", "items"])
-
-        return run
-
-    parts = [base.select("uid", "text").mapInArrow(scan(x), "uid long, n_words long, hits array<long>, items array<string>") for x in indexes]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.groupBy("uid").agg(
-        F.max("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return base.join(merged, "uid").select(
-        *[F.col("row")[c].alias(c) for c in keep], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    def run_beside(batches):
+        side, index, of_file = scratch.Beside(path), None, None
+        for file_no, batch in scratch.text_slices(batches, kernels.SLICE_BYTES):
+            if file_no != of_file:
+                table = side.file(file_no)
+                names: dict[str, set[str]] = {}
+                for content, item in zip(*(table.column(c).to_pylist() for c in ("content", "item"))) if table is not None else ():
+                    names.setdefault(content, set()).update([] if item is None else [item])
+                index, of_file = Index([(frozenset(x), content) for content, x in names.items()]), file_no
+            yield pa.RecordBatch.from_arrays([batch.column("row"), judged(index, batch)], ["row", "found"])
+
+    return texts.mapInArrow(run_beside, result).select(*columns)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

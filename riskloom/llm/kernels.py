@@ -7,10 +7,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes of text that a kernel takes at once; a single longer text makes a batch of its own.
+#: Bytes of text that a kernel takes at once; a single longer text makes a batch of its own, which kernels go through in parts.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of which spans are hashed at once.
+HASHED = 1 << 20
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,12 +95,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by prefix sums of one polynomial."""
-    up, down = powers(len(data) + 1)
-    values = (ascii_lower()[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each span of bytes, in order of start: by prefix sums of one polynomial over HASHED bytes at a time.
+
+    A span of more than HASHED bytes has the XXH3 of its bytes instead.
+    """
+    out = np.empty(len(start), np.uint64)
+    table, at = ascii_lower() if lower else None, 0
+    while at < len(start):
+        first = int(start[at])
+        past = int(np.searchsorted(end, first + HASHED, "right"))
+        if past <= at:
+            whole = data[first : int(end[at])]
+            out[at] = xxhash.xxh3_64_intdigest((table[whole] if lower else whole).tobytes())
+            at += 1
+            continue
+        some = data[first : int(end[past - 1])]
+        up, down = powers(HASHED)
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(((table[some] if lower else some).astype(np.uint64) + np.uint64(1)) * up[: len(some)], out=sums[1:])
+        low, high = start[at:past] - first, end[at:past] - first
+        out[at:past] = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+        at = past
+    return out
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:

@@ -130,6 +130,11 @@ class Beside:
             self.uid = self.table.column("uid").to_numpy() if found else np.zeros(0, np.int64)
             self.columns, self.file_no = None, file_no
 
+    def file(self, file_no: int):
+        """The file's table, or None without rows."""
+        self._open(file_no)
+        return self.table
+
     def of(self, file_no: int, uids) -> tuple[dict, list[tuple[int, int]]]:
         """(columns as arrays, slice of them for each uid)."""
         import numpy as np

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -134,20 +135,44 @@ def slow_grams(text):
     return out
 
 
-@pytest.mark.parametrize("text", ["Ab, cé!", "", " a ", "one two  three", "日本 x"])
-def test_grams_equal_slow_grams(text):
-    model = language.Model([("a", "abcdefghé onetwhr")])
-    table = model.symbols()
-    got = model.grams(table[language.codepoints(text)])
-    assert len(got) == len(slow_grams(text))
-
-
-def test_dense_and_sorted_counts_agree(monkeypatch):
-    model = language.Model([("a", "the cat sat on the mat"), ("b", "el gato en la casa")])
-    s = model.symbols()[language.codepoints("the gato sat in the casa and the mat")]
-    one = model.predict(s)
-    monkeypatch.setattr(language, "DENSE", 0)
-    assert model.predict(s) == one
+@pytest.mark.parametrize("text", ["Ab, cé!", "", " a ", "one two  three", "日本 x", "ab" * 30])
+@pytest.mark.parametrize("part", [1 << 20, 3])
+def test_grams_equal_slow_grams(monkeypatch, text, part):
+    monkeypatch.setattr(language, "PART", part)
+    code = lambda g: sum((0 if c == " " else ord(c)) * language.SPACE ** (len(g) - 1 - i) for i, c in enumerate(g)) + sum(language.SPACE**i for i in range(1, len(g)))
+    codes, counts = language.counted(text)
+    assert dict(zip(codes.tolist(), counts.tolist())) == Counter(map(code, slow_grams(text)))
+
+
+def test_predictions_equal_plain_distances(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    samples = [(r.lang, r.text) for r in rows[:80] if r.lang and r.text]
+    samples += [("ru", "съешь ещё этих мягких французских булок"), ("uk", "щастям б'єш жук їх глицю в фон й ґедзь пріч"), ("el", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία")]
+    model = language.Model(samples)
+    order = lambda g: tuple(0 if c == " " else ord(c) for c in g)
+
+    def profile(texts):
+        counts = Counter(g for t in texts for g in slow_grams(t))
+        return sorted(counts, key=lambda g: (-counts[g], len(g), order(g)))[: language.PROFILE]
+
+    profiles = {lang: {g: i for i, g in enumerate(profile([t for x, t in samples if x == lang]))} for lang in sorted({x for x, _ in samples})}
+    for text in [r.text for r in rows[80:130]] + ["мягких булок", "їх жук", "την", "zz"]:
+        own = profile([text or ""])
+        far = {lang: sum(abs(i - p[g]) if g in p else language.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        got = model.predict(text)
+        if not own:
+            assert got == ("und", 0.0)
+            continue
+        best = min(far, key=lambda x: (far[x], x))  # ties: the first by name
+        assert got[0] == best and abs(got[1] - (1 - far[best] / (language.PROFILE * len(own)))) < 1e-12
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E01 + i)} " * 3, f"l{i:04d}") for i in range(1500)] + [(5000 + i, "ж" * 20_000, "long") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.languages) > 1000 and "long" in model.languages
+    assert model.predict("ж")[0] == "long"
 
 
 def test_language_on_held_out_documents(spark, sf_dir):

@@ -101,7 +101,7 @@ def test_digits_sent_in_many_parts_and_wide_levels(spark, copies, monkeypatch):
     look = lambda: sorted(map(str, exact_dedup.classes(frame, ["doc_id"]).drop("kept").collect()))
     whole = look()
     monkeypatch.setattr(exact_dedup, "HELD", 100)
-    monkeypatch.setattr(exact_dedup, "WIDEST", 256)
+    monkeypatch.setattr(exact_dedup, "WIDEST", 1024)
     assert look() == whole
 
 
