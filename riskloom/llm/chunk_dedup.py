@@ -5,8 +5,10 @@ the hash at a byte depends on the WINDOW bytes up to it. A chunk ends where the
 such place lies less than MIN_CHUNK bytes before, so boundaries move with the content and an insertion changes only the
 chunks around it. Stretches of MAX_CHUNK bytes without a boundary are cut.
 
-Chunks are deduplicated by digest (96 bits of XXH3): of equal chunks the first in table order stays. A duplicate is
-removed only as part of MIN_RUN bytes or more of consecutive duplicate chunks of its document, so common phrases stay.
+Chunks are deduplicated by digest (96 bits of XXH3): of equal chunks the first in table order stays. A duplicate counts,
+and is removed, only as part of MIN_RUN bytes or more of consecutive duplicate chunks of its document or of a document
+that consists of such chunks alone, so common phrases stay; ``n_repeated_chunks`` counts the others too. A passage that
+other text surrounds loses the parts of it that fall into chunks with the surroundings, about one chunk at each end.
 
 Counts are aggregated before the shuffle, so a chunk that a third of all documents share is one row per task; chunk rows
 meet their counts in a join that adaptive execution can split. Found chunks go back to their texts by file and row
@@ -32,11 +34,11 @@ WINDOW = 16
 BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
-MIN_RUN = 100
+MIN_RUN = 64
 SEGMENT = 1 << 22
 GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-RESULT = "doc_id long, n_bytes long, n_chunks long, n_duplicate_chunks long, duplicate_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_chunks long, n_repeated_chunks long, n_duplicate_chunks long, duplicate_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -99,13 +101,14 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "uid long, file_no int, start long, size int, d1 long, d2 int")
 
 
-def removed_runs(start: np.ndarray, size: np.ndarray, other: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a document's duplicate chunks in order: (in a run of MIN_RUN bytes, removed) flags."""
+def removed_runs(start: np.ndarray, size: np.ndarray, other: np.ndarray, digest: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a document's duplicate chunks in order: (in a run of MIN_RUN bytes or of the whole document, removed) flags.
+    ``digest`` has a row of the two parts of each chunk's digest."""
     breaks = np.concatenate([[True], start[1:] != start[:-1] + size[:-1]])
     run = np.cumsum(breaks) - 1
-    long = np.bincount(run, size)[run] >= MIN_RUN
+    long = np.bincount(run, size)[run] >= min(MIN_RUN, n_bytes)
     again = np.ones(len(start), bool)
-    again[np.unique(digest, return_index=True)[1]] = False
+    again[np.unique(digest, axis=0, return_index=True)[1]] = False
     return long, long & (other | again)
 
 
@@ -118,7 +121,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = scratch.stage(chunk_rows(texts), "chunk-rows")
     counts = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first")).where("n > 1").drop("n")
     repeated = scratch.stage(counts, "chunk-repeated")
-    mine = found.join(repeated.hint("merge"), ["d1", "d2"]).select("uid", "file_no", "start", "size", "d1", (F.col("first") != F.col("uid")).alias("other"))
+    mine = found.join(repeated.hint("merge"), ["d1", "d2"]).select("uid", "file_no", "start", "size", "d1", "d2", (F.col("first") != F.col("uid")).alias("other"))
     path = scratch.beside(mine, "chunk-beside")
 
     def run(batches):
@@ -131,20 +134,20 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
             for i, (low, high) in enumerate(where):
                 text = data[offsets[i] : offsets[i + 1]]
                 gone = np.zeros(len(text), bool)
-                shared = 0
+                shared = n_long = 0
                 if high > low:
                     order = low + np.argsort(columns["start"][low:high], kind="stable")
                     start, size = columns["start"][order], columns["size"][order].astype(np.int64)
-                    inside, out = removed_runs(start, size, columns["other"][order], columns["d1"][order])
-                    shared = int(size[inside].sum())
+                    inside, out = removed_runs(start, size, columns["other"][order], np.column_stack([columns["d1"][order], columns["d2"][order]]), len(text))
+                    shared, n_long = int(size[inside].sum()), int(inside.sum())
                     for a, b in zip(start[out].tolist(), (start + size)[out].tolist()):
                         gone[a:b] = True
                 kept = text[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(text), int(count[i]), high - low, shared, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 6 + [pa.string(), pa.binary()]
-            names = ["n_bytes", "n_chunks", "n_duplicate_chunks", "duplicate_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            upto = 8 if with_text else 7
+                rows.append((len(text), int(count[i]), high - low, n_long, shared, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+            names = ["n_bytes", "n_chunks", "n_repeated_chunks", "n_duplicate_chunks", "duplicate_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+            upto = 9 if with_text else 8
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], kinds[k]) for k in range(upto)]], ["doc_id", *names[:upto]])
 
     return texts.mapInArrow(run, RESULT + (", kept_text binary" if with_text else ""))

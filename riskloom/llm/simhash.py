@@ -12,8 +12,9 @@ are the bits themselves) of at least C of D + C disjoint bit blocks. So
 2. pairs whose coordinates for any of PIVOTS random references differ by more than D are discarded;
 3. survivors are verified by their Hamming distance.
 
-A meeting place emits a spanning forest of its links, fewer edges than members, never its pairs. Only distinct
-fingerprints take part, so exact copies cost one row. Components are found over edges of fingerprints by star contraction.
+A meeting place emits a spanning forest of its links, fewer edges than members, never its pairs. A dense place (a cluster
+of many fingerprints that agree in those blocks) is dealt over cells of two parts each, so that no task holds it. Only
+distinct fingerprints take part, so exact copies cost one row. Components are found over edges of fingerprints by star contraction.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like others; fewer words than a shingle
 make one shingle of them all; repeated rows share a class; a null doc_id is never a class's id unless all are null;
@@ -41,7 +42,12 @@ SEED = 42
 PIVOTS = 12
 #: Mean members of a meeting place that the number of agreeing blocks aims at.
 MEETING = 256
-#: Bytes of a text whose shingles are hashed at once, and members of meeting places compared at once.
+#: Members of a part of a dense meeting place, and bytes of rows of cells that a task compares at once (whole cells).
+DENSE = 1 << 14
+CELLS = 1 << 23
+#: Rows of dense places that are broadcast at most.
+BROADCAST_ROWS = 200_000
+#: Bytes of a text whose shingles are hashed at once, and hashes whose bits are counted at once.
 SEGMENT = 1 << 21
 COMPARED = 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -136,22 +142,48 @@ def forest(place: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def meeting_tables(batches):
-    """Batches sorted by (choice, place) as tables of about COMPARED rows that hold their meeting places whole."""
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with what ``places``, a written table, has for their place: broadcast if it has BROADCAST_ROWS rows at most."""
+    few = places.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(places) if few else places.hint("merge"), ["choice", "place"], "left")
+
+
+def sorted_cells(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows of each cell together, cells whole within a task."""
+    return rows.repartition(*cell).sortWithinPartitions(*cell)
+
+
+def cells_of(batches, cell: list[str], limit: int):
+    """Tables of about ``limit`` bytes that hold cells whole, with the number of each row's cell."""
     held: list[pa.RecordBatch] = []
+
+    def numbers(table):
+        keys = [table.column(c).to_numpy() for c in cell]
+        return np.cumsum(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else np.zeros(0, np.int64)
+
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < COMPARED:
+        if sum(b.nbytes for b in held) < limit:
             continue
         table = pa.Table.from_batches(held)
-        place, choice = (table.column(c).to_numpy() for c in ("place", "choice"))
-        others = np.flatnonzero((place != place[-1]) | (choice != choice[-1]))
-        whole = int(others[-1]) + 1 if len(others) else 0
+        number = numbers(table)
+        whole = int(np.searchsorted(number, number[-1]))
         if whole:
-            yield table.slice(0, whole)
+            yield table.slice(0, whole), number[:whole]
         held = table.slice(whole).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, numbers(table)
+
+
+def in_pairs(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``part`` and ``other``: dense places fall into parts of about DENSE members by a hash, and each member
+    comes once in each cell in which its part meets a part, so that every pair of a place is in one cell."""
+    sizes = placed.groupBy("choice", "place").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > DENSE)
+    dense = scratch.stage(sizes.select("choice", "place", F.ceil(F.col("members") / DENSE).cast("int").alias("parts")), "simhash-dense")
+    parts = F.coalesce("parts", F.lit(1))
+    each = with_places(placed, dense).withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return each.select("fp", "choice", "place", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"))
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -160,20 +192,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     meet = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("place")) for i, m in enumerate(signed)]))
     placed = distinct.select("fp", meet.alias("m")).select("fp", "m.choice", "m.place")
+    cell = ["choice", "place", "part", "other"]
 
     def run(batches):
-        for table in meeting_tables(batches):
-            yield connect(table)
-
-    def connect(table: pa.Table) -> pa.RecordBatch:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        place, choice = table.column("place").to_numpy(), table.column("choice").to_numpy()
-        starts = np.concatenate([[True], (place[1:] != place[:-1]) | (choice[1:] != choice[:-1])])
-        pairs = forest(np.cumsum(starts), fp, max_bits)
-        return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
+        for table, number in cells_of(batches, cell, CELLS):
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            pairs = forest(number, fp, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, k]].view(np.int64)) for k in (0, 1)], ["a", "b"])
 
-    met = placed.repartition("choice", "place").sortWithinPartitions("choice", "place")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return sorted_cells(in_pairs(placed), cell).mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -182,7 +209,7 @@ def classes(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, max_bits:
     rows = scratch.stage(fingerprints(named, ["kept", "id"], shingle), "simhash-rows")
     distinct = scratch.stage(rows.groupBy("fp").agg(F.min("row.id").alias("first_id")), "simhash-distinct")
     edges = scratch.stage(links(distinct.select("fp"), max_bits), "simhash-links")
-    member = components(edges).select(F.col("node").alias("fp"), "component")
+    member = components(edges, in_place=True).select(F.col("node").alias("fp"), "component")
     placed = scratch.stage(distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-members")
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named_class = scratch.stage(placed.join(smallest, "component").select("fp", "component_id", "component"), "simhash-classes")

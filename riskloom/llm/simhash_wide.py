@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import kernels, scratch
 from riskloom.llm.components import components
-from riskloom.llm.simhash import COMPARED, MEETING, SEED, shingles
+from riskloom.llm.simhash import COMPARED, MEETING, SEED, cells_of, shingles, sorted_cells, with_places
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -54,8 +54,6 @@ DENSE = 2048
 GRAMS = 1 << 22
 #: Bytes of rows of cells that a task compares at once (whole cells).
 CELLS = 1 << 25
-#: Rows of places that are broadcast at most.
-BROADCAST_ROWS = 200_000
 #: Candidate pairs that a cell holds before it reduces them to a forest, or hands them on.
 HELD = 1 << 20
 SEEDS = [np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for w in range(WORDS)]
@@ -254,12 +252,6 @@ def placed(nodes: DataFrame, chosen: list[np.ndarray], extra: tuple[str, ...] =
     return met(nodes, chosen, extra).unionByName(few)
 
 
-def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows with what ``places``, a written table, has for their place: broadcast if it has BROADCAST_ROWS rows at most."""
-    few = places.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(places) if few else places.hint("merge"), ["choice", "place"], "left")
-
-
 def dense_places(rows: DataFrame) -> DataFrame:
     """(choice, place, parts) of places with more than DENSE members or GRAMS shingles."""
     sizes = rows.groupBy("choice", "place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where((F.col("m") > DENSE) | (F.col("s") > GRAMS))
@@ -295,34 +287,6 @@ def across_cells(rows: DataFrame, dense: DataFrame) -> DataFrame:
     return each.withColumns({"part": F.least("own", "with"), "other": F.greatest("own", "with")}).drop("main", "mains", "others", "own", "with")
 
 
-def sorted_cells(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """Rows of each cell together, cells whole within a task."""
-    return rows.repartition(*cell).sortWithinPartitions(*cell)
-
-
-def cells_of(batches, cell: list[str], limit: int):
-    """Tables of about ``limit`` bytes that hold cells whole, with the number of each row's cell."""
-    held: list[pa.RecordBatch] = []
-
-    def numbers(table):
-        keys = [table.column(c).to_numpy() for c in cell]
-        return np.cumsum(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else np.zeros(0, np.int64)
-
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) < limit:
-            continue
-        table = pa.Table.from_batches(held)
-        number = numbers(table)
-        whole = int(np.searchsorted(number, number[-1]))
-        if whole:
-            yield table.slice(0, whole), number[:whole]
-        held = table.slice(whole).to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, numbers(table)
-
-
 def words_of(table: pa.Table) -> np.ndarray:
     return np.column_stack([table.column(f).to_numpy().view(np.uint64) for f in _FIELDS])
 

@@ -70,10 +70,11 @@ def test_classes_equal_brute_force(spark):
     assert simhash.classes(frame.limit(0), ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("meeting", [256, 2, 0.001])
-def test_no_link_is_lost(spark, monkeypatch, meeting):
+@pytest.mark.parametrize(("meeting", "dense"), [(256, 1 << 14), (256, 50), (2, 3), (0.001, 1 << 14)])
+def test_no_link_is_lost(spark, monkeypatch, meeting, dense):
     monkeypatch.setattr(simhash, "MEETING", meeting)
-    monkeypatch.setattr(simhash, "COMPARED", 500)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "CELLS", 20_000)
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
     fps = set(centres.tolist())

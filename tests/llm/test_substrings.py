@@ -153,7 +153,7 @@ def test_chunk_duplicates_equal_brute_force(spark):
             first.setdefault(c, d)
     want = []
     for d, (text, own) in enumerate(zip(raw, pieces)):
-        gone, shared, at, k, seen = np.zeros(len(text), bool), 0, 0, 0, set()
+        gone, shared, n_long, at, k, seen = np.zeros(len(text), bool), 0, 0, 0, 0, set()
         while k < len(own):
             if count[own[k]] < 2:
                 at, k = at + len(own[k]), k + 1
@@ -162,7 +162,8 @@ def test_chunk_duplicates_equal_brute_force(spark):
             while k < len(own) and count[own[k]] > 1:
                 run.append((at, own[k]))
                 at, k = at + len(own[k]), k + 1
-            long = sum(len(c) for _, c in run) >= chunk_dedup.MIN_RUN
+            long = sum(len(c) for _, c in run) >= min(chunk_dedup.MIN_RUN, len(text))
+            n_long += long * len(run)
             for where, c in run:
                 if long:
                     shared += len(c)
@@ -170,7 +171,7 @@ def test_chunk_duplicates_equal_brute_force(spark):
                         gone[where : where + len(c)] = True
                 seen.add(c)
         n_bytes, n_removed, n_spans, sha = described(text, gone)
-        want.append((d, n_bytes, len(own), sum(count[c] > 1 for c in own), shared, n_removed, n_spans, sha))
+        want.append((d, n_bytes, len(own), sum(count[c] > 1 for c in own), n_long, shared, n_removed, n_spans, sha))
     got = sorted(map(tuple, chunk_dedup.deduplicate(docs).collect()))
     assert got == want
 
