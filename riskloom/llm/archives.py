@@ -357,3 +357,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = write_arc(pages, scratch.folder(spark, "arc"))
     warcs = convert_files(arcs, scratch.folder(spark, "warc"))
     return read_warc(open_files(warcs)).select(*columns)
+
+
+#: Digests and first pages straight from the pages; five hex digits are four of base 32.
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""

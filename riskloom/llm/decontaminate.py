@@ -35,7 +35,6 @@ BITMAP_BITS = 22
 STEP = 1 << 19
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_TOP = np.uint64(64 - BITMAP_BITS)
 
 
 class Index:
@@ -55,8 +54,8 @@ class Index:
             last = at + n - 1
             at = at[(last < len(owner)) & (owner[np.minimum(last, len(owner) - 1)] == owner[at])]
             whole = window_hash(words, at, n)
-            bits = np.zeros(1 << BITMAP_BITS, bool)
-            bits[kept_fingerprints(words, n)[at] >> _TOP] = True
+            bits = np.zeros(1 << min(BITMAP_BITS, len(at).bit_length() + 5), bool)
+            bits[top_of(kept_fingerprints(words, n)[at], bits)] = True
             order = np.argsort(whole, kind="stable")
             self.lengths[n] = (bits, whole[order], at[order].astype(np.int32), owner[at[order]].astype(np.int32))
 
@@ -73,6 +72,11 @@ class Index:
         return same
 
 
+def top_of(kept: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The place of each fingerprint in a bitmap."""
+    return kept >> np.uint64(65 - len(bits).bit_length())
+
+
 def window_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The hash of the n words from each place on."""
     whole = np.zeros(len(at), np.uint64)
@@ -96,7 +100,7 @@ def candidates(bits_of: dict[int, np.ndarray], data: np.ndarray, start: np.ndarr
         words = kernels.span_hash(data, start[a:b], end[a:b])
         for n, bits in bits_of.items():
             kept = kept_fingerprints(words, n)[:STEP]
-            at = np.flatnonzero(bits[kept >> _TOP])
+            at = np.flatnonzero(bits[top_of(kept, bits)])
             at = at[owner[a + at] == owner[a + at + n - 1]]
             if len(at):
                 yield n, a + at, kept[at], window_hash(words, at, n)
@@ -229,3 +233,28 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+
+
+#: Windows by unnesting, and plain joins of their words.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bi AS (
+  SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi
+), di AS (
+  SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n
+), hit AS (
+  SELECT row_no, i, x.n, item FROM (SELECT row_no, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM di) x JOIN win ON win.n = x.n AND win.k = x.k
+), words AS (
+  SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT row_no, i, n FROM hit)) GROUP BY row_no
+), items AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT row_no, item FROM hit) GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
+"""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from riskloom.llm.archives import op7_warc
+from riskloom.llm.archives import OP7_SQL, op7_warc
 from riskloom.llm.chunk_dedup import op3_chunk_dedup
-from riskloom.llm.decontaminate import op10_decontamination
+from riskloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.language import op9_language
 from riskloom.llm.mixing import op1_mixing
@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}
