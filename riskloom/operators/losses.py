@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import special
@@ -57,8 +58,9 @@ def hac(series: DataFrame, keys: list[str], order: str, x: str, max_lag: int = M
     covers groups of up to about 14,000 rows; larger groups fail instead of losing lags.
     """
     d = series.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).alias("x"))
-    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    e = d.join(stats, keys).withColumn("e", F.col("x") - F.col("mean")).withColumn("lag", newey_west_lag(F.col("n")))
+    group = W.partitionBy(*keys)
+    e = d.withColumns({"n": F.count(F.lit(1)).over(group), "mean": F.avg("x").over(group)})
+    e = e.withColumn("e", F.col("x") - F.col("mean")).withColumn("lag", newey_west_lag(F.col("n")))
     e = e.where((F.col("lag") <= max_lag) | F.raise_error(F.lit("raise max_lag")).cast("boolean"))
     w = by(keys, order)
     products = e.withColumns({f"p{k}": F.col("e") * F.lag("e", k).over(w) for k in range(1, max_lag + 1)})
@@ -79,11 +81,16 @@ def diebold_mariano(losses: DataFrame, keys: list[str], a: str, b: str, max_lag:
 
 
 def dm_table(losses: DataFrame, a: str, b: str) -> DataFrame:
-    """Per symbol: t on QLIKE and log MSE, standardised effect, mean rv over mean baseline forecast, first day."""
-    q = diebold_mariano(losses, ["symbol"], f"q_{a}", f"q_{b}").select("symbol", "n", F.col("t").alias("t_qlike"), "mean_d")
-    m = diebold_mariano(losses, ["symbol"], f"m_{a}", f"m_{b}").select("symbol", F.col("t").alias("t_mse_log"))
+    """Per symbol: t on QLIKE and log MSE, standardised effect, mean rv over mean baseline forecast, first day.
+
+    Both losses are rows of one series each, so the losses are read once for the tests and once for the sums.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_{a}").alias("x"), F.col(f"{k}_{b}").alias("y")) for k in ("q", "m")]))
+    t = diebold_mariano(losses.select("symbol", "day", kinds.alias("k")).select("symbol", "day", "k.*"), ["symbol", "kind"], "x", "y")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    tests = t.groupBy("symbol").agg(of("q", "n").alias("n"), of("q", "t").alias("t_qlike"), of("q", "mean_d").alias("mean_d"), of("m", "t").alias("t_mse_log"), F.count(F.lit(1)).alias("both"))
     sd = losses.groupBy("symbol").agg(F.stddev_samp(F.col(f"q_{a}") - F.col(f"q_{b}")).alias("sd"), (F.avg("rv") / F.avg(a)).alias("scale"), F.min("day").alias("first_day"))
-    return q.join(m, "symbol").join(sd, "symbol").select("symbol", "n", "first_day", "t_qlike", (F.col("mean_d") / positive(F.col("sd"))).alias("effect"), "t_mse_log", "scale")
+    return tests.where("both = 2").join(sd, "symbol").select("symbol", "n", "first_day", "t_qlike", (F.col("mean_d") / positive(F.col("sd"))).alias("effect"), "t_mse_log", "scale")
 
 
 def verdict(tests: DataFrame, share: float = 0.8, z: float = Z) -> DataFrame:

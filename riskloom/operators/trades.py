@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import by, chunked, positive, safe_div
+from riskloom.functions.columns import chunked, positive, safe_div
 
 Z_95 = 1.959964
 Z_POWER_80 = 0.841621
@@ -32,20 +33,33 @@ def effective_size(series: DataFrame, keys: list[str], order: list[str], x: str,
     """(keys, n, n_eff): n / (1 + 2 sum of Pearson autocorrelations of lags 1..max_lag).
 
     Lags need order, and a regime may hold a third of all rows, so each key's rows are cut into chunks that overlap by
-    max_lag rows. Per row the previous max_lag values are one array, and one aggregation gets the moments of every lag.
+    max_lag rows. A chunk gives the moments of the pairs of every lag, around the key's mean; they are summed by lag.
     ``order`` starts with a column that splits a key well (a day). Lags without a correlation are left out; a sum that
     is not positive gives n.
     """
     d = series.where(F.col(x).isNotNull()).select(*keys, *order, F.col(x).cast("double").alias("x"))
-    w = by([*keys, "_chunk"], "_at")
-    past = chunked(d, keys, order, max_lag).withColumn("past", F.array(*[F.lag("x", k).over(w) for k in range(1, max_lag + 1)])).where("_own")
-    corr = [F.corr(F.when(F.col("past")[k].isNotNull(), F.col("x")), F.col("past")[k]) for k in range(max_lag)]
-    usable = [F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)) for c in corr]
-    total = usable[0]
-    for c in usable[1:]:
-        total = total + c
-    g = past.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (1 + 2 * total).alias("den"))
-    return g.select(*keys, "n", F.when(F.col("den") > 0, F.col("n") / F.col("den")).otherwise(F.col("n").cast("double")).alias("n_eff"))
+    cut = chunked(d, keys, order, max_lag).join(d.groupBy(*keys).agg(F.avg("x").alias("_mean")), keys)
+    part = cut.select(*keys, "_chunk", "_at", "_own", (F.col("x") - F.col("_mean")).alias("e"))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        e, own = pdf["e"].to_numpy(), pdf["_own"].to_numpy()
+        rows = [(0, int(own.sum()), *[0.0] * 5)]
+        for lag in range(1, min(max_lag, len(e) - 1) + 1):
+            mine = own[lag:]
+            a, b = e[lag:][mine], e[:-lag][mine]
+            rows.append((lag, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
+        out = pd.DataFrame(rows, columns=["lag", *names])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "lag", *names]]
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.select(*keys).schema.fields)
+    found = part.groupBy(*keys, "_chunk").applyInPandas(moments, f"{kinds}, lag int, n long, " + ", ".join(f"{c} double" for c in names[1:]))
+    g = found.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in names])
+    spread = F.sqrt(positive(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))) * F.sqrt(positive(F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    corr = F.when(F.col("lag") > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread)
+    per_key = g.withColumn("corr", corr).groupBy(*keys).agg(F.max(F.when(F.col("lag") == 0, F.col("n"))).alias("n"), (1 + 2 * F.coalesce(F.sum("corr"), F.lit(0.0))).alias("den"))
+    return per_key.select(*keys, "n", F.when(F.col("den") > 0, F.col("n") / F.col("den")).otherwise(F.col("n").cast("double")).alias("n_eff"))
 
 
 def pnl_summary(series: DataFrame, keys: list[str], order: list[str], x: str, periods: int = 3 * 365, capital: float = 2.0, z: float = Z_95) -> DataFrame:

@@ -173,9 +173,9 @@ def measurability(spark, sf):
 
 
 def _registry(spark, sf):
-    """A registry made of customers, with the mistakes that its rules find."""
-    c = adapters.table(spark, sf, "customer").where("c_custkey <= 400").withColumn("k", F.col("c_custkey").cast("long"))
-    day = F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.col("k") - F.when(F.col("k") % 50 == 0, 9).otherwise(0)).cast("int")), "yyyy-MM-dd")
+    """A registry made of all customers, eight a day, with the mistakes that its rules find."""
+    c = adapters.table(spark, sf, "customer").withColumn("k", F.col("c_custkey").cast("long"))
+    day = F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (F.floor(F.col("k") / 8) - F.when(F.col("k") % 50 == 0, 9).otherwise(0)).cast("int")), "yyyy-MM-dd")
     bases, kinds = F.array(*map(F.lit, thresholds.BASES)), F.array(*map(F.lit, thresholds.KINDS))
     return c.select(
         F.col("k").alias("at"), F.when(F.col("k") % 97 == 0, F.lit("x")).otherwise(F.col("k").cast("string")).alias("nr"), day.alias("data"),
@@ -195,7 +195,7 @@ def registry_counts(spark, sf):
     return tidy(thresholds.counted(_registry(spark, sf).where("wariantow <> '-1'")))
 
 
-REGISTRY_SQL = """WITH b AS (SELECT c_custkey AS k, strftime(DATE '2022-01-01' + CAST(c_custkey - CASE WHEN c_custkey % 50 = 0 THEN 9 ELSE 0 END AS INTEGER), '%Y-%m-%d') AS data FROM customer WHERE c_custkey <= 400),
+REGISTRY_SQL = """WITH b AS (SELECT c_custkey AS k, strftime(DATE '2022-01-01' + CAST(c_custkey // 8 - CASE WHEN c_custkey % 50 = 0 THEN 9 ELSE 0 END AS INTEGER), '%Y-%m-%d') AS data FROM customer),
     g AS (SELECT k AS pos, CASE WHEN k % 97 = 0 THEN 'x' ELSE CAST(k AS VARCHAR) END AS nr, data, CASE WHEN k % 31 = 0 THEN ' ' ELSE 'r' END AS runda,
         CASE WHEN k % 41 = 0 THEN '2022_same' ELSE data || '_' || k END AS katalog,
         CASE WHEN k % 43 = 0 THEN '?' ELSE ['krypto-2021-2026', 'tradfi-1990-2026', 'krypto-na-żywo', 'inna', 'stara-baza'][k % 5 + 1] END AS baza,
@@ -238,8 +238,8 @@ def liquidation_touches(spark, sf):
 
 
 def touch_clusters(spark, sf):
-    t = positions.touches(adapters.daily(spark, sf), 1.5, 0.005, "long", 3)
-    return tidy(positions.clusters(t.where("touched").where("at % 9 = 0")))
+    t = positions.touches(adapters.daily(spark, sf), 1.04, 0.005, "long", 3)
+    return tidy(positions.clusters(t.where("touched")))
 
 
 LEG = sequential.Leg("X", "r", 20.0, 15.0)
@@ -363,8 +363,8 @@ QUERIES = {
         min(low) OVER w <= close * (1 - (1 / 3.0 - 0.005)) AS touched, max(high) OVER w >= close * (1 + (1 / 3.0 - 0.005)) AS touched_short, count(*) OVER w AS c FROM daily
         WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) WHERE c = 5""", "daily")),
     "touch_clusters": (touch_clusters, sql("""SELECT symbol, count(*) FILTER (b IS NULL OR day - b > 7) AS n_clusters FROM (SELECT symbol, day, lag(day) OVER (PARTITION BY symbol ORDER BY day) AS b FROM (
-        SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k, min(low) OVER w <= close * (1 - (1 / 1.5 - 0.005)) AS touched, count(*) OVER w AS c FROM daily
-        WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE c = 3 AND touched AND k % 9 = 0) GROUP BY symbol""", "daily")),
+        SELECT symbol, day, min(low) OVER w <= close * (1 - (1 / 1.04 - 0.005)) AS touched, count(*) OVER w AS c FROM daily
+        WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE c = 3 AND touched) GROUP BY symbol""", "daily")),
     "e_process": (e_process, sql(f"""SELECT symbol, day, count(*) OVER w AS t, round(sum(r - {LEG.daily_mu!r}) OVER w, 6) AS s FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY day)""", "ret")),
     "e_summary": (e_summary, None),
     "posterior": (posterior, sql(f"""SELECT symbol, n, round(m, 6) AS mean, round(s, 6) AS sd, round(m - 1.959964 * s, 6) AS ci_low, round(m + 1.959964 * s, 6) AS ci_high FROM (

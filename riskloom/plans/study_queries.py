@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import candles, garch, positions, sequential
-from riskloom.plans import panels, power, rules, studies
+from riskloom.plans import dependence, laboratories, panels, power, rules, studies
 from riskloom.plans.risk_queries import _losses
 from riskloom.plans.tidy import tidy
 from riskloom.sources import adapters
@@ -82,7 +82,50 @@ def rule_example(spark, sf):
     return tidy(spark.createDataFrame(rows, "code string, value double, ok boolean, near boolean, verdict string"), 4)
 
 
+def hit_dependence(spark, sf):
+    """Hit correlation of the walk-forward forecasts, by block length of its bootstrap."""
+    return tidy(dependence.hit_dependence(spark, _returns(spark, sf), boot=500), 4)
+
+
+def dependence_control(spark, sf):
+    small = panels.PanelSettings(n_days=520, n_coins=4, burn=200)
+    parts = [dependence.dependence_control(spark, small, rho, 4, 13) for rho in (0.8, 0.0)]
+    return tidy(parts[0].unionByName(parts[1]), 4)
+
+
+def series_control(spark, sf):
+    """Rates of the four series tests for four forecasts on independent series."""
+    return tidy(studies.rates(laboratories.series_control(spark, 4, 1000, 10, 17, 2000)), 4)
+
+
+def _rule_rows(spark, verdicts):
+    rows = [(*key, x.code, float(x.value), x.ok, x.near, v.verdict) for key, v in verdicts.items() for x in (*v.controls, *v.criteria, *v.notes)]
+    return tidy(spark.createDataFrame(rows, "cell string, p double, code string, value double, ok boolean, near boolean, verdict string"), 4)
+
+
+def power_laboratory(spark, sf):
+    """Verdicts of the pooled rule by correlation, sample length and level, with every control and criterion."""
+    rate = laboratories.rates_by(laboratories.power_laboratory(spark, panels.PanelSettings(n_coins=5, burn=200), (0.8, 0.4), (250, 500), 4, 19, 99, 1000))
+    cells = sorted({(c, p) for c, p, _, _ in rate})
+    return _rule_rows(spark, {(c, p): rules.pooled_rule(laboratories.pooled_numbers(rate, c, p), p, c.startswith("0.8")) for c, p in cells})
+
+
+def comparative_example(spark, sf):
+    """Verdict of the comparative rule on a study of all forecasts."""
+    study = studies.estimated_study(spark, panels.PanelSettings(n_days=520, n_coins=2, burn=200), 3, 23, boot=49, levels=(0.05,))
+    share, rate = laboratories.dm_shares(study), laboratories.rates_by(study.where("cell <> 'dm'"))
+    return _rule_rows(spark, {("comparisons", 0.05): rules.comparative_rule(laboratories.comparative_numbers(share, rate, 0.05))})
+
+
+def cell_example(spark, sf):
+    """Verdict of the cell rule on the plain cell and on one with variance regimes."""
+    base = panels.PanelSettings(n_days=520, n_coins=3, burn=200)
+    regimes = panels.PanelSettings(n_days=520, n_coins=3, burn=200, amplitude=0.5, shock_rho=0.3)
+    cells = {"A0": {"settings": base, "full": True, "goal": None, "window": None}, "B1": {"settings": regimes, "full": False, "goal": 1.717, "window": (0.413, 0.613)}}
+    return _rule_rows(spark, {(name, 0.05): c["verdict"] for name, c in laboratories.run_cells(spark, cells, 3, 29, boot=99).items()})
+
+
 QUERIES = {
     f.__name__: (f, None)
-    for f in (garch_fit, garch_forecast, risk_table, bootstrap_power, power_mde, lab_rates, lab_comparisons, z2_null, evidence_rates, negative_control, panel_pilot, simulated_panel, rule_example)
+    for f in (hit_dependence, dependence_control, series_control, power_laboratory, comparative_example, cell_example, garch_fit, garch_forecast, risk_table, bootstrap_power, power_mde, lab_rates, lab_comparisons, z2_null, evidence_rates, negative_control, panel_pilot, simulated_panel, rule_example)
 }
