@@ -55,11 +55,11 @@ class Scope:
 
 
 @contextmanager
-def scope(spark: SparkSession):
+def scope(spark: SparkSession, keep: bool = False):
     """Tables made inside go when the block ends; evaluate what reads them before, or write it by ``result``.
 
     Around a query, it frees what the query keeps in the shared folder; each block has its own list, so overlapping runs
-    leave each other's tables alone.
+    leave each other's tables alone. With ``keep`` they stay until ``release`` is called.
     """
     own = Scope(spark, _scopes.get())
     token = _scopes.set((*own.outer, own))
@@ -67,9 +67,46 @@ def scope(spark: SparkSession):
         yield own
     finally:
         _scopes.reset(token)
+        if not keep:
+            own.release()
+
+
+_MARK = "riskloom.scope"
+_marked: dict[str, Scope] = {}
+
+
+def marked(df: DataFrame, own: Scope, column: str) -> DataFrame:
+    """``df`` whose column's metadata names a scope; Parquet keeps it, so a table read back tells whose result it is."""
+    name = uuid.uuid4().hex
+    _marked[name] = own
+    return df.withMetadata(column, {**df.schema[column].metadata, _MARK: name})
+
+
+def release_behind(df: DataFrame, column: str) -> None:
+    """Release the scope that ``df``, a table that was written from its result, is marked with. A frame that still reads
+    from the scope itself leaves it alone."""
+    name = df.schema[column].metadata.get(_MARK) if column in df.columns else None
+    own = _marked.get(name)
+    if own is not None and not any(path.rsplit("/", 1)[1] in leaf for leaf in _places(df) for path in own.paths):
+        del _marked[name]
         own.release()
 
 
+def _places(df: DataFrame) -> list[str]:
+    """The folders that a frame's plan reads, as text."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [leaves.apply(i).toString() + _paths_of(leaves.apply(i)) for i in range(leaves.size())]
+
+
+def _paths_of(leaf) -> str:
+    try:
+        return leaf.relation().location().rootPaths().mkString(" ")
+    except Exception:  # no relation over files  # noqa: BLE001
+        return ""
+
+
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_dedup_and_decontamination import brute_hits, lower
 from test_simhash_wide import brute_sets, brute_similar
 
-from riskloom.llm import quality
+from riskloom.llm import quality, scratch
 
 
 @pytest.fixture(scope="module")
@@ -67,5 +67,23 @@ def test_mixing_stage_meets_the_targets(stages):
     assert abs(taken - words) <= stages[4].select("source").distinct().count()
 
 
-def test_run_applies_all_stages(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 50
+def test_overlapping_runs_keep_their_tables(spark, sf_dir):
+    first, second = corpus_pipeline.run(spark, sf_dir), corpus_pipeline.run(spark, sf_dir)
+    assert first.count() == second.count() > 50
+
+
+def test_a_stage_frees_what_the_one_before_kept(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.exact(spark, docs, sf_dir)
+    own = scratch._marked[kept.schema["doc_id"].metadata[scratch._MARK]]
+    assert own.paths
+    scratch.release_behind(kept, "doc_id")  # not written yet: it still reads its tables
+    assert own.paths and kept.count() > 50
+    kept.write.parquet(f"{tmp_path}/kept")
+    corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/kept"), sf_dir)
+    assert not own.paths
+
+
+def test_stages_take_empty_tables(spark, sf_dir):
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert all(function(spark, none, sf_dir).count() == 0 for _, function in corpus_pipeline.STAGES)
