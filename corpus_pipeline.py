@@ -24,31 +24,47 @@ def stage(function):
 
 @stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    """Documents that the classifier, trained on the labelled ones among them, does not reject.
+
+    Null and empty texts score the sample's share of good documents; null ids are scored like others; with an empty
+    ``labels`` table every score is 0.5, below the cut.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts that are equal after lower-casing A-Z."""
+    """One row of each class of texts that are equal after lower-casing A-Z, that with the largest id.
+
+    Null texts are empty ones, null ids are smallest, and of rows repeated with the largest id one stays.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    """One row of each class of near copies, that with the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Null and wordless texts are one class; null ids are largest; repeated rows are near copies.
+    """
     return simhash_wide.drop_near_copies(docs)
 
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share too little with the benchmark to count as contaminated."""
+    """Documents that share too little with the benchmark to count as contaminated.
+
+    Null and wordless texts are clean; with an empty ``benchmark`` table all documents are.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight, in shuffled shards; a document comes once for each time that it is drawn."""
+    """The mix of sources by weight, in shuffled shards; a document comes once for each time that it is drawn.
+
+    A null source is a source of its own, last in order; documents without words are in no mix.
+    """
     return mixing.mix(docs)
 
 
