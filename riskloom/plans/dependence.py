@@ -12,6 +12,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.operators import garch, var_es
@@ -28,10 +29,12 @@ CHUNK = 250
 
 
 def daily_hits(returns: DataFrame, p: float = P, start: int = garch.START, step: int = garch.STEP) -> DataFrame:
-    """(day, s, k): hits of the walk-forward forecasts on days that every forecast symbol has."""
-    forecasts = garch.var_es(garch.walk_forward_forecasts(returns, start, step), p)
-    symbols = forecasts.agg(F.count_distinct("symbol"))
-    return var_es.daily_sums(forecasts, p).where(F.col("k") == symbols.scalar()).select("day", "s", "k")
+    """(day, s, k): hits of the walk-forward forecasts on the days that have the most symbols, all of them where any day does.
+
+    One window over the days, a row each, so that the forecasts are made once.
+    """
+    sums = var_es.daily_sums(garch.var_es(garch.walk_forward_forecasts(returns, start, step), p), p)
+    return sums.withColumn("most", F.max("k").over(W.partitionBy())).where("k = most").select("day", "s", "k")
 
 
 def implied_rho(s: np.ndarray, k: int, p: float) -> np.ndarray:
