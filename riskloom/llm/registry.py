@@ -11,7 +11,7 @@ from riskloom.llm.language import op9_language
 from riskloom.llm.mixing import op1_mixing
 from riskloom.llm.quality import op2_quality
 from riskloom.llm.simhash import op5_simhash
-from riskloom.llm.suffix_dedup import op4_suffix_dedup
+from riskloom.llm.suffix_dedup import OP4_SQL, op4_suffix_dedup
 from riskloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 
@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_suffix_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}

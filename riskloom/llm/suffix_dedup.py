@@ -367,3 +367,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: A window's start counts if its bytes start at least twice; removed runs are the islands of those starts.
+OP4_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS u, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT u, i, b[i + 1 : i + {LENGTH}] AS w FROM (SELECT u, b, unnest(range(octet_length(b) - {LENGTH - 1})) AS i FROM texts WHERE octet_length(b) >= {LENGTH})),
+again AS (SELECT w FROM starts GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT u, i, i - lag(i) OVER (PARTITION BY u ORDER BY i) AS step FROM starts SEMI JOIN again USING (w)),
+runs AS (SELECT u, min(i) AS a, max(i) + {LENGTH} AS z
+    FROM (SELECT u, i, count(*) FILTER (step IS NULL OR step > {LENGTH}) OVER (PARTITION BY u ORDER BY i) AS run FROM hits) GROUP BY u, run),
+ends AS (SELECT u, a, z FROM runs UNION ALL SELECT u, 0, 0 FROM texts UNION ALL SELECT u, octet_length(b), octet_length(b) FROM texts),
+pieces AS (SELECT u, max(z) OVER w AS a, lead(a) OVER w AS z FROM ends WINDOW w AS (PARTITION BY u ORDER BY a, z)),
+kept AS (SELECT u, string_agg(CASE WHEN p.z > p.a THEN hex(b[p.a + 1 : p.z]) ELSE '' END, '' ORDER BY p.a, p.z) AS x FROM pieces p JOIN texts USING (u) GROUP BY u),
+counts AS (SELECT u, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY u)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM texts JOIN kept USING (u) LEFT JOIN counts USING (u)
+"""
