@@ -137,12 +137,16 @@ def index_pages(fetch: Fetch, base: str, currency: str, start_ms: int, end_ms: i
         end = following
 
 
-def parse_pages(spark: SparkSession, pages: list[tuple[str, str]], symbol: str) -> DataFrame:
-    """(symbol, ts, day, open, high, low, close) of index pages."""
-    d = spark.createDataFrame(pages, "page string, sha256 string")
-    rows = d.select(F.explode(F.from_json("page", "struct<result: struct<data: array<array<double>>>>")["result"]["data"]).alias("r"))
+def parsed(pages: DataFrame) -> DataFrame:
+    """(symbol, ts, day, open, high, low, close) of (symbol, page) rows."""
+    rows = pages.select("symbol", F.explode(F.from_json("page", "struct<result: struct<data: array<array<double>>>>")["result"]["data"]).alias("r"))
     ts = F.timestamp_millis(F.col("r")[0].cast("long"))
-    return rows.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), F.to_date(ts).alias("day"), *[F.col("r")[i + 1].alias(c) for i, c in enumerate(("open", "high", "low", "close"))])
+    return rows.select("symbol", ts.alias("ts"), F.to_date(ts).alias("day"), *[F.col("r")[i + 1].alias(c) for i, c in enumerate(("open", "high", "low", "close"))])
+
+
+def parse_pages(spark: SparkSession, pages: list[tuple[str, str]], symbol: str) -> DataFrame:
+    """The index rows of one symbol's pages."""
+    return parsed(spark.createDataFrame(pages, "page string, sha256 string").withColumn("symbol", F.lit(symbol)))
 
 
 def full_days(index: DataFrame, now: str) -> DataFrame:
