@@ -180,7 +180,9 @@ def _run(spark, root, run, pairs, base, start, end, fetch, previous, tasks, know
         "digests": old["digests"] | {f"{r}/{n}": d for (n, r), d in new.items()}, "errors": [f"{n} {e}" for n, e in sorted(errors.items())],
     }
     counts = quality_of(read_table(spark, root, {"parts": {n: parts[n] for n in added if n in parts}})) if added else {}
-    manifest["quality"] = {n: q for n in everyone if (q := counts.get(n, {"rows": 0} if n in added else old["quality"].get(n)))}
+    # a pair without any archive counts as read by a full run, with no rows
+    empty = {n for n in names if n not in errors and (n in added or previous is None)}
+    manifest["quality"] = {n: q for n in everyone if (q := counts.get(n, {"rows": 0} if n in empty else old["quality"].get(n)))}
     if "known_day" in old:
         manifest["known_day"] = old["known_day"]
     if known_day and f"{known_day['symbol']}/{known_day['timeframe']}" in added:
