@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskloom.plans import risk_queries, series_queries, study_queries
+from riskloom.plans import record_queries, risk_queries, series_queries, study_queries
 
-_ALL = series_queries.QUERIES | risk_queries.QUERIES | study_queries.QUERIES
+_ALL = series_queries.QUERIES | risk_queries.QUERIES | record_queries.QUERIES | study_queries.QUERIES
 
 
 def queries() -> dict:

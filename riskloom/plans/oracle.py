@@ -115,3 +115,56 @@ def ess_sql(source: str, value: str, keys: str, order: str, lags: int = 50) -> s
     return f"""(SELECT {keys}, n, CASE WHEN den > 0 THEN n / den ELSE CAST(n AS DOUBLE) END AS n_eff FROM (
         SELECT {keys}, count(*) AS n, 1 + 2 * ({corr}) AS den FROM (SELECT {keys}, x, {lagged} FROM (
         SELECT {keys}, {order}, {value} AS x FROM {source} WHERE {value} IS NOT NULL) WINDOW w AS (PARTITION BY {keys} ORDER BY {order})) GROUP BY {keys}))"""
+
+
+def normal_cdf_sql(x: str, nodes: int = 1000) -> str:
+    """Phi of a column, by Simpson's rule from 0."""
+    weight = f"CASE WHEN k IN (0, {nodes}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 + {x} / {3 * nodes} / sqrt(2 * pi()) * list_sum(list_transform(range(0, {nodes + 1}), lambda k: {weight} * exp(-0.5 * power({x} * k / {nodes}, 2)))))"
+
+
+def mixture_sql(x: str, nodes: int = 2000) -> str:
+    """exp(x * x / 2) * Phi(x) of a column: the integral of exp(x * t - t * t / 2) over t > 0, up to nine beyond its peak."""
+    weight, width = f"CASE WHEN k IN (0, {nodes}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END", f"((greatest({x}, 0.0) + 9) / {nodes})"
+    t = f"(k * {width})"
+    return f"({width} / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, {nodes + 1}), lambda k: {weight} * exp({x} * {t} - {t} * {t} / 2))))"
+
+
+def determinant(rows: list[list[str]]) -> str:
+    """A determinant, expanded along the first row."""
+    if len(rows) == 1:
+        return rows[0][0]
+    minors = [determinant([[*r[:j], *r[j + 1 :]] for r in rows[1:]]) for j in range(len(rows))]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {rows[0][j]} * {minor}" for j, minor in enumerate(minors)) + ")"
+
+
+def har_sql(source: str, regressors: tuple[str, ...], complete: str, min_train: int = 365, every: int = 30) -> str:
+    """(symbol, day, forecast) of the walk-forward log HAR, as a subquery; ``source`` has symbol, day, d (log variance) and
+    x (a further regressor, null if none), ``complete`` says which rows take part.
+
+    Least squares by Cramer's rule on centred running moments of the rows before each refit. The first refit may come late,
+    when half of ``min_train`` rows take part.
+    """
+    names = (*regressors, "y")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    before = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    sums = ", ".join([f"sum({a}) FILTER (ok) {before} AS s_{a}" for a in names] + [f"sum({a} * {b}) FILTER (ok) {before} AS s_{a}{b}" for a, b in pairs])
+    centred = ", ".join(f"s_{a}{b} - s_{a} * s_{b} / n AS c_{a}{b}" for a, b in pairs)
+    c = lambda a, b: f"c_{a}{b}" if (a, b) in pairs else f"c_{b}{a}"
+    square = [[c(a, b) for b in regressors] for a in regressors]
+    slopes = ", ".join(f"{determinant([[c(a, 'y') if b == r else c(a, b) for b in regressors] for a in regressors])} / {determinant(square)} AS b_{r}" for r in regressors)
+    level = " - ".join(["s_y / n", *(f"b_{r} * s_{r} / n" for r in regressors)])
+    rest = " - ".join(["c_yy", *(f"b_{r} * {c(r, 'y')}" for r in regressors)])
+    fitted = " + ".join(["level", *(f"b_{r} * {r}" for r in regressors)])
+    return f"""(WITH har_a AS (SELECT symbol, day, x, d - arg_min(d, day) FILTER (d IS NOT NULL) OVER (PARTITION BY symbol) AS d, arg_min(d, day) FILTER (d IS NOT NULL) OVER (PARTITION BY symbol) AS shift,
+            row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n_days FROM {source}),
+        har_b AS (SELECT *, CASE WHEN count(d) OVER seven = 7 THEN avg(d) OVER seven END AS w, CASE WHEN count(d) OVER thirty = 30 THEN avg(d) OVER thirty END AS m, lead(d) OVER (PARTITION BY symbol ORDER BY t) AS y FROM har_a
+            WINDOW seven AS (PARTITION BY symbol ORDER BY t ROWS 6 PRECEDING), thirty AS (PARTITION BY symbol ORDER BY t ROWS 29 PRECEDING)),
+        har_c AS (SELECT *, {complete} AS whole, {complete} AND y IS NOT NULL AS ok FROM har_b),
+        har_d AS (SELECT *, min(t) FILTER (ok) OVER (PARTITION BY symbol) + {min_train} AS start, count(*) FILTER (ok) {before} AS n, {sums} FROM har_c),
+        har_r AS (SELECT *, n >= {min_train // 2} AND ((t - start) % {every} = 0 OR lag(n) OVER (PARTITION BY symbol ORDER BY t) < {min_train // 2}) AS refit FROM har_d WHERE t >= start AND t < n_days - 1),
+        har_e AS (SELECT *, max(t) FILTER (refit) OVER (PARTITION BY symbol ORDER BY t) AS block, {centred} FROM har_r),
+        har_f AS (SELECT *, {slopes} FROM har_e WHERE refit),
+        har_g AS (SELECT symbol, block, {level} AS level, ({rest}) / (n - {len(names)}) AS s2, {', '.join(f'b_{r}' for r in regressors)} FROM har_f),
+        har_h AS (SELECT e.symbol, e.t + 1 AS t, exp({fitted} + shift + s2 / 2) AS forecast FROM har_e e JOIN har_g g ON g.symbol = e.symbol AND g.block = e.block WHERE whole)
+        SELECT a.symbol, a.day, forecast FROM har_a a LEFT JOIN har_h h ON h.symbol = a.symbol AND h.t = a.t)"""

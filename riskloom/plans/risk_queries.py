@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import special
 from riskloom.operators import candles, controls, forecasts, losses, positions, sequential, thresholds, trades, var_es
-from riskloom.plans.oracle import ess_sql, hac_sql, sql
+from riskloom.plans.oracle import ess_sql, hac_sql, mixture_sql, normal_cdf_sql, sql
 from riskloom.plans.tidy import tidy
 from riskloom.sources import adapters
 
@@ -243,6 +243,7 @@ def touch_clusters(spark, sf):
 
 
 LEG = sequential.Leg("X", "r", 20.0, 15.0)
+TAU = sequential.tuned_tau(LEG.daily_mu, LEG.daily_sigma)
 
 
 def e_process(spark, sf):
@@ -257,7 +258,7 @@ def e_summary(spark, sf):
 
 
 def posterior(spark, sf):
-    return tidy(sequential.posterior(candles.log_returns(adapters.daily(spark, sf)), "r", LEG.sigma, 0.0, LEG.mu).drop("p_positive"))
+    return tidy(sequential.posterior(candles.log_returns(adapters.daily(spark, sf)), "r", LEG.sigma, 0.0, LEG.mu))
 
 
 HAC = hac_sql("losses", "q_a - q_b")
@@ -296,7 +297,8 @@ QUERIES = {
     "christoffersen_ind": (christoffersen_ind, sql(f"""SELECT symbol, n00, n01, n10, n11, round(CASE WHEN NOT {EMPTY} THEN greatest(2 * ({MARKOV} - {FREE}), 0.0) END, 6) AS lr, {EMPTY} AS undefined FROM moves""", "moves", **CONST)),
     "christoffersen_cc": (christoffersen_cc, sql(f"""SELECT symbol, n, {M} AS n_uc, round(greatest(2 * ({FREE} - {ll(X, M, str(P))}), 0.0), 6) AS lr_uc, round(greatest(2 * ({MARKOV} - {FREE}), 0.0), 6) AS lr_ind,
         round(greatest(2 * ({MARKOV} - {ll(X, M, str(P))}), 0.0), 6) AS lr, round(exp(-greatest(2 * ({MARKOV} - {ll(X, M, str(P))}), 0.0) / 2), 6) AS p_value, {EMPTY} AS ind_undefined, false AS undefined FROM moves""", "moves", **CONST)),
-    "backtest_p_values": (backtest_p_values, None),
+    "backtest_p_values": (backtest_p_values, sql(f"""SELECT symbol, x, n, share, round(lr, 6) AS lr, round(greatest(2 * (1 - {normal_cdf_sql('root')}), 0.0), 6) AS p_value FROM (SELECT *, sqrt(lr) AS root FROM (
+        SELECT symbol, x, n, round(x / n, 6) AS share, greatest(2 * ({ll('x', 'n', 'x / n')} - {ll('x', 'n', str(P))}), 0.0) AS lr FROM (SELECT symbol, count(*) FILTER (hit) AS x, count(*) AS n FROM hits GROUP BY symbol)))""", "hits", **CONST)),
     "z2": (z2, sql("SELECT symbol, count(*) AS n, round(1 - sum(CASE WHEN r < q THEN r / es ELSE 0.0 END) / (count(*) * {p}), 6) AS z2 FROM fc GROUP BY symbol", "fc", **CONST)),
     "location_scale_check": (location_scale_check, sql("SELECT symbol, bool_and(q / {q} > 0 AND abs(q / {q} - es / {es}) <= 1e-9 * abs(es / {es})) AS ok FROM fc GROUP BY symbol", "fc", **CONST)),
     "fz0": (fz0, sql("SELECT day, round(avg(-CASE WHEN r <= q THEN q - r ELSE 0.0 END / ({p} * es) + q / es + ln(-es) - 1.0), 6) AS fz0 FROM fc GROUP BY day", "fc", **CONST)),
@@ -366,8 +368,11 @@ QUERIES = {
         SELECT symbol, day, min(low) OVER w <= close * (1 - (1 / 1.04 - 0.005)) AS touched, count(*) OVER w AS c FROM daily
         WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) WHERE c = 3 AND touched) GROUP BY symbol""", "daily")),
     "e_process": (e_process, sql(f"""SELECT symbol, day, count(*) OVER w AS t, round(sum(r - {LEG.daily_mu!r}) OVER w, 6) AS s FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY day)""", "ret")),
-    "e_summary": (e_summary, None),
-    "posterior": (posterior, sql(f"""SELECT symbol, n, round(m, 6) AS mean, round(s, 6) AS sd, round(m - 1.959964 * s, 6) AS ci_low, round(m + 1.959964 * s, 6) AS ci_high FROM (
-        SELECT symbol, n, x * 365 * n / (365 * {LEG.sigma!r} * {LEG.sigma!r}) / pr AS m, sqrt(1 / pr) AS s FROM (SELECT symbol, count(r) AS n, avg(r) AS x, 1 / ({LEG.mu!r} * {LEG.mu!r}) + count(r) / (365 * {LEG.sigma!r} * {LEG.sigma!r}) AS pr FROM ret GROUP BY symbol))""", "ret")),
+    "e_summary": (e_summary, sql(f"""SELECT symbol, count(*) AS n, round(arg_max(e, t), 6) AS last_e, round(max(e), 6) AS max_e FROM (
+        SELECT symbol, t, 2 / ({TAU!r} * sqrt(a)) * {mixture_sql('x')} AS e FROM (SELECT *, s / sqrt(a) AS x FROM (
+        SELECT symbol, count(*) OVER w AS t, sum(r) OVER w AS s, count(*) OVER w * {LEG.daily_sigma**2!r} + {TAU**-2!r} AS a FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY day))))
+        GROUP BY symbol""", "ret")),
+    "posterior": (posterior, sql(f"""SELECT symbol, n, round(m, 6) AS mean, round(s, 6) AS sd, round(m - 1.959964 * s, 6) AS ci_low, round(m + 1.959964 * s, 6) AS ci_high, round({normal_cdf_sql('z')}, 6) AS p_positive FROM (SELECT *, m / s AS z FROM (
+        SELECT symbol, n, x * 365 * n / (365 * {LEG.sigma!r} * {LEG.sigma!r}) / pr AS m, sqrt(1 / pr) AS s FROM (SELECT symbol, count(r) AS n, avg(r) AS x, 1 / ({LEG.mu!r} * {LEG.mu!r}) + count(r) / (365 * {LEG.sigma!r} * {LEG.sigma!r}) AS pr FROM ret GROUP BY symbol)))""", "ret")),
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import by, full_mean, trailing
 from riskloom.operators import candles, features, forecasts, leakage, quality, universe
-from riskloom.plans.oracle import sql
+from riskloom.plans.oracle import har_sql, sql
 from riskloom.plans.tidy import tidy
 from riskloom.sources import adapters
 
@@ -214,6 +214,9 @@ def _mean_sql(n: int) -> str:
     return sql(f"SELECT symbol, day, round(CASE WHEN count(x) OVER w = {n} THEN avg(x) OVER w END, 6) AS value FROM dvar_cal WINDOW w AS {frame}", "dvar_cal")
 
 
+HAR, HAR_ROWS = ("d", "w", "m"), "d IS NOT NULL AND w IS NOT NULL AND m IS NOT NULL"
+WITH_INDEX = "(SELECT v.symbol, v.day, CASE WHEN rv > 0 THEN ln(rv) END AS d, ln(b.close) AS x FROM dvar v LEFT JOIN daily b ON b.symbol = v.symbol AND b.day = v.day - 1)"
+
 QUERIES = {
     "candles_5m": (candles_5m, sql("SELECT symbol, CAST(epoch(ts) AS BIGINT) AS ts, day, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, n FROM bars", "bars")),
     "daily_ohlc": (daily_ohlc, sql("SELECT symbol, day, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, n_bars FROM day_sums", "day_sums")),
@@ -293,8 +296,9 @@ QUERIES = {
     "har_features": (har_features, sql("""SELECT symbol, day, round(d, 6) AS d, round(CASE WHEN count(d) OVER a = 7 THEN avg(d) OVER a END, 6) AS w, round(CASE WHEN count(d) OVER b = 30 THEN avg(d) OVER b END, 6) AS m
         FROM (SELECT symbol, day, CASE WHEN rv > 0 THEN ln(rv) END AS d FROM dvar) WINDOW a AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
         b AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""", "dvar")),
-    "har_forecast": (har_forecast, None),
-    "har_x_forecast": (har_x_forecast, None),
+    "har_forecast": (har_forecast, sql(f"SELECT symbol, day, round(forecast, 6) AS forecast FROM {har_sql('(SELECT symbol, day, CASE WHEN rv > 0 THEN ln(rv) END AS d, NULL AS x FROM dvar)', HAR, HAR_ROWS)}", "dvar")),
+    "har_x_forecast": (har_x_forecast, sql(f"""SELECT symbol, day, round(a.forecast, 6) AS har, round(b.forecast, 6) AS har_x
+        FROM {har_sql(WITH_INDEX, HAR, HAR_ROWS + ' AND x IS NOT NULL')} a JOIN {har_sql(WITH_INDEX, (*HAR, 'x'), HAR_ROWS + ' AND x IS NOT NULL')} b USING (symbol, day)""", "dvar")),
     "oos_fingerprint": (oos_fingerprint, sql("""SELECT symbol, count(*) AS n_days, substr(sha256(symbol || ':' || string_agg(strftime(day, '%Y-%m-%d'), ',' ORDER BY day)), 1, 16) AS fingerprint
         FROM f_window WHERE f IS NOT NULL AND rv IS NOT NULL GROUP BY symbol""", "f_window")),
     "empirical_tail": (empirical_tail, sql("""SELECT z.symbol, round(q, 6) AS q, round(avg(z) FILTER (z <= q), 6) AS es, round(any_value(qp), 6) AS q_pooled, round(any_value(ep), 6) AS es_pooled
