@@ -84,3 +84,41 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int, size: i
     own = F.floor(F.col("_at") / size)
     next_too = F.when(F.col("_at") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
     return at.withColumn("_chunk", F.explode(next_too)).withColumn("_own", F.col("_chunk") == own)
+
+
+#: Accuracy of the approximate quantiles that bracket an exact one, the bracket's half width in shares of the rows, and
+#: the rows up to which a bracket is the whole range (there, neighbours in rank are further apart than the half width).
+QUANTILE_ACCURACY = 10_000
+BRACKET = 0.001
+WHOLE_RANGE = 10_000
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, points: dict[str, float]) -> DataFrame:
+    """(keys, one column per point): exact interpolated quantiles of the non-null ``x``, without a task that holds a key's rows.
+
+    Approximate quantiles bracket each one; what lies below a bracket is counted, and only the distinct values inside it,
+    some 0.2 % of the rows, are ranked. A bracket that missed its quantile would be an error, not another value.
+    """
+    d = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"))
+    edges = F.array(*[F.lit(min(1.0, max(0.0, p + side * BRACKET))) for p in points.values() for side in (-1, 1)])
+    bounds = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", edges, QUANTILE_ACCURACY).alias("_edges"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    few = F.col("_n") <= WHOLE_RANGE
+    low, high = (lambda i: F.when(few, F.col("_least")).otherwise(F.col("_edges")[2 * i])), (lambda i: F.when(few, F.col("_most")).otherwise(F.col("_edges")[2 * i + 1]))
+    # per point: values inside the bracket, one null for what lies below, nothing for what lies above
+    spot = lambda i: F.when(F.col("_x") < low(i), F.struct(F.lit(i).alias("i"), F.lit(None).cast(kind).alias("v"))).when(
+        F.col("_x") <= high(i), F.struct(F.lit(i).alias("i"), F.col("_x").alias("v"))
+    )
+    kind = dict(d.dtypes)["_x"]
+    spots = d.join(bounds, keys).select(*keys, "_n", F.explode(F.array_compact(F.array(*[spot(i) for i in range(len(points))]))).alias("_s"))
+    counts = spots.groupBy(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counts.withColumn("_to", F.sum("_c").over(W.partitionBy(*keys, "_n", "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)))
+    out = []
+    for i, (name, p) in enumerate(points.items()):
+        at, own = (F.col("_n") - 1) * F.lit(p), F.col("_i") == i
+        value = lambda rank, own=own: F.min(F.when(own & F.col("_v").isNotNull() & (F.col("_to") > rank), F.col("_v")))
+        below, upto = F.coalesce(F.max(F.when(own & F.col("_v").isNull(), F.col("_to"))), F.lit(0)), F.max(F.when(own, F.col("_to")))
+        first, second, share = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        held = F.coalesce((below <= F.max(F.floor(at))) & (upto > F.max(F.ceil(at))), F.lit(False))
+        exact = F.when(share == 0, first).otherwise((1 - share) * first + share * second)
+        out.append(F.when(held, exact).otherwise(F.raise_error(F.lit(f"the bracket of {name} missed it")).cast("double")).alias(name))
+    return ranked.groupBy(*keys).agg(*out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import by
+from riskloom.functions.columns import by, quantiles
 
 MAD_TO_SIGMA = 1.4826
 INDEX_RANGE = (0.0, 400.0)
@@ -40,9 +40,9 @@ def jumps(bars: DataFrame, k: float = 10.0) -> DataFrame:
     ends = bars.groupBy("symbol", "day").agg(F.max_by("close", "ts").alias("last"))
     before = ends.withColumn("before", F.lag("last").over(by(["symbol"], "day"))).select("symbol", "day", "before")
     changes = bars.withColumn("inside", inside).join(before, ["symbol", "day"]).select("symbol", "ts", (F.ln("close") - F.ln(F.coalesce("inside", "before"))).alias("change")).where("change is not null")
-    centre = changes.groupBy("symbol").agg(F.percentile("change", F.lit(0.5)).alias("median"))
+    centre = quantiles(changes, ["symbol"], "change", {"median": 0.5})
     away = changes.join(centre, "symbol").withColumn("away", F.abs(F.col("change") - F.col("median")))
-    spread = away.groupBy("symbol").agg((F.percentile("away", F.lit(0.5)) * MAD_TO_SIGMA).alias("sigma"))
+    spread = quantiles(away, ["symbol"], "away", {"mad": 0.5}).select("symbol", (F.col("mad") * MAD_TO_SIGMA).alias("sigma"))
     return away.join(spread, "symbol").where((F.col("sigma") > 0) & (F.col("away") > k * F.col("sigma"))).select("symbol", "ts", "change")
 
 

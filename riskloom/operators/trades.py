@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import chunked, positive, safe_div
+from riskloom.functions.columns import chunked, positive, quantiles, safe_div
 
 Z_95 = 1.959964
 Z_POWER_80 = 0.841621
@@ -65,7 +65,8 @@ def effective_size(series: DataFrame, keys: list[str], order: list[str], x: str,
 def pnl_summary(series: DataFrame, keys: list[str], order: list[str], x: str, periods: int = 3 * 365, capital: float = 2.0, z: float = Z_95) -> DataFrame:
     """Mean, median, deviation, t with effective sample size in [1, n], interval, annualised values, total."""
     s = series.where(F.col(x).isNotNull())
-    base = s.groupBy(*keys).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("sd"), F.sum(x).alias("total"))
+    base = s.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.sum(x).alias("total"))
+    base = base.join(quantiles(s, keys, x, {"median": 0.5}), keys)
     j = base.join(effective_size(s, keys, order, x), keys).where("n >= 2").withColumn("n_eff", F.greatest(F.lit(1.0), F.least("n_eff", F.col("n").cast("double"))))
     j = j.withColumns({"se": F.col("sd") / F.sqrt("n"), "se_neff": F.col("sd") / F.sqrt("n_eff")})
     low, high = F.col("mean") - z * F.col("se_neff"), F.col("mean") + z * F.col("se_neff")
@@ -122,10 +123,10 @@ def trade_summary(trades: DataFrame, order: list[str]) -> DataFrame:
     d = d.withColumns({k: F.col(v) / F.col("notional") for k, v in (("g", "gross"), ("r", "net"), ("c", "cost"))}).where(n_regimes == 1)
     win = F.col("g") > 0
     base = d.groupBy("regime").agg(
-        F.avg("r").alias("r_mean"), F.median("r").alias("r_median"), F.stddev_samp("r").alias("r_std"), F.percentile("r", F.lit(0.05)).alias("r_p5"),
-        F.percentile("r", F.lit(0.95)).alias("r_p95"), t_stat("r").alias("t"), F.avg(F.when(win, F.col("g"))).alias("w_mean"),
+        F.avg("r").alias("r_mean"), F.stddev_samp("r").alias("r_std"), t_stat("r").alias("t"), F.avg(F.when(win, F.col("g"))).alias("w_mean"),
         F.avg(F.when(~win, -F.col("g"))).alias("l_mean"), F.avg("c").alias("cost"),
     )
+    base = base.join(quantiles(d, ["regime"], "r", {"r_median": 0.5, "r_p5": 0.05, "r_p95": 0.95}), "regime", "left")
     j = base.join(effective_size(d, ["regime"], order, "r"), "regime").withColumn("n_eff", F.least("n_eff", F.col("n").cast("double")))
     return j.withColumns({
         "p_star": (F.col("l_mean") + F.col("cost")) / positive(F.col("w_mean") + F.col("l_mean")), "t_neff": F.col("t") * F.sqrt(F.col("n_eff") / F.col("n")),
