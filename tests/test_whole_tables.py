@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import garch, leakage
+from riskloom.functions.columns import by
+from riskloom.operators import features, garch, leakage
 from riskloom.plans import power, series_queries, study_queries
 from riskloom.plans.risk_queries import _losses
 from riskloom.sources import adapters
@@ -34,3 +37,16 @@ def test_the_gate_checks_all_days_and_kinds(spark, sf_dir, monkeypatch):
     series_queries.leakage_gate(spark, sf_dir)
     d, kinds = seen[0]
     assert d.count() == adapters.daily_variance(spark, sf_dir).count() and set(kinds) == set(leakage.KINDS)
+
+
+def test_the_gate_equals_its_sql(spark, sf_dir):
+    query, text = series_queries.QUERIES["leakage_gate"]
+    assert sorted(map(tuple, query(spark, sf_dir).collect())) == sorted(duckdb.sql(text).fetchall())
+
+
+@pytest.mark.parametrize("kind", leakage.KINDS)
+def test_each_kind_alone_finds_the_leak(spark, sf_dir, kind):
+    d = adapters.daily_variance(spark, sf_dir)
+    peeking = lambda x: features.rv_day(x, 1).withColumn("value", F.lead("value", 3).over(by(["symbol"], "day")))
+    found = leakage.check(peeking, d, "day", ["rv"], leakage.cuts(d, "day", 2, 7), kinds=(kind,), truncate=False)
+    assert found.kind == kind and found.day <= found.cut
